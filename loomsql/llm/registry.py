@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import copies, neardup, splits
+from . import copies, leaks, neardup, residue, splits, subset, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": splits.p3_found,
         "p3_splits": splits.p3_splits,
         "p5_found": neardup.p5_found,
+        "p1_subset": subset.p1_subset,
+        "p6_ids": tokens.p6_ids,
+        "p7_found": leaks.p7_found,
+        "p7_overlaps": leaks.p7_overlaps,
+        "p8_found": residue.p8_found,
     }
 
 
