@@ -1,4 +1,4 @@
-from . import tpch  # noqa: F401
+from . import nested, tpch  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
