@@ -5,8 +5,8 @@ words of that skeleton, and the names the statement uses. A subset's value is th
 of the mass its members put on the feature, so a second record of a kind gains less than the first one. Mass is scaled
 so that each kind is worth at most 1 for one record, however long: n features of a kind have mass 1 / n^2 each.
 
-Rounds of descending thresholds: each round sends the mass of the subset so far to the tasks (``DIMS`` numbers, whatever
-the size of the data); each task walks over its records and picks those whose gain, given the subset and its own picks
+Rounds of descending thresholds: each round sends the mass of the subset so far to the tasks (at most ``DIMS`` numbers,
+whatever the size of the data); each task walks over its records and picks those whose gain, given the subset and its own picks
 so far, reaches the threshold, at most as many as are wanted still; the driver takes at most ``4 x wanted`` picks, in
 order of a hash of their ids, and keeps those that still reach the threshold. A threshold is done when a round keeps all
 picks there were. The order of selection serves every size: the first k records are the subset of size k.
@@ -100,10 +100,16 @@ def gain(mass: np.ndarray, at: np.ndarray, w: np.ndarray) -> float:
 
 
 def picks(mass: np.ndarray, threshold: float, wanted: int, chosen: np.ndarray):
-    """(id, kinds) -> at most ``wanted`` records of a task that reach the threshold one after another."""
+    """(id, kinds) -> at most ``wanted`` records of a task that reach the threshold one after another.
+
+    What is sent to the tasks are the features the subset has so far, not all ``DIMS`` numbers.
+    """
+    used = np.flatnonzero(mass).astype(np.int32)
+    amount = mass[used]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, found = mass.copy(), 0
+        own, found = np.zeros(DIMS), 0
+        own[used] = amount
         for batch in batches:
             if found >= wanted or not batch.num_rows:
                 continue
