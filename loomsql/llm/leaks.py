@@ -101,11 +101,19 @@ def compare(share: float):
     """(doc_id, item_id, diagonals with a hit position, both texts) -> (doc_id, item_id, run, overlap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a = None, []
+        known: dict[str, list[str]] = {}  # the few evaluation texts, each split once
         for batch in batches:
             docs, items, diagonals, texts, others = (c.to_pylist() for c in batch.columns)
             longest, overlaps = [], []
             for hits, text, other in zip(diagonals, texts, others):
-                a, b = words_of(text), words_of(other)
+                if text != last:
+                    last, a = text, words_of(text)
+                b = known.get(other)
+                if b is None:
+                    if len(known) > 10_000:
+                        known.clear()
+                    b = known[other] = words_of(other)
                 most, wide = 0, 0
                 for hit in hits:
                     d = hit["diagonal"]
@@ -140,7 +148,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     diagonals = hits.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.min("item_pos").alias("pos"))
     pairs = scratch.write(diagonals.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("diagonal", "pos")).alias("hits")), "pairs")
     texts = pairs.join(left.select(F.col("id").alias("doc_id"), "text"), "doc_id").join(right.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item_id")
-    checked = texts.select("doc_id", "item_id", "hits", "text", "item_text").mapInArrow(compare(share), "doc_id bigint, item_id bigint, run int, overlap int")
+    texts = texts.select("doc_id", "item_id", "hits", "text", "item_text").sortWithinPartitions("doc_id")  # each text is split once
+    checked = texts.mapInArrow(compare(share), "doc_id bigint, item_id bigint, run int, overlap int")
     return checked.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("overlap").alias("overlap"))
 
 
