@@ -1,4 +1,4 @@
-from . import nested, tpch  # noqa: F401
+from . import constructs, nested, tpch  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 
