@@ -149,6 +149,8 @@ class Parser:
                 limit = A.Literal("int", "1") if self.is_word("row", "rows") else self.expr()
                 self.word("row", "rows")
                 self.need_word("only")
+        if isinstance(body, A.Query) and not (order or limit or offset or ctes):
+            return body  # parentheses alone leave no trace
         return A.Query(body, order, limit, offset, tuple(ctes))
 
     def set_expr(self, level: int) -> A.Node:
@@ -167,7 +169,7 @@ class Parser:
             q = self.query()
             self.need_op(")")
             plain = not (q.order_by or q.limit or q.offset or q.ctes)
-            return q.body if plain and isinstance(q.body, A.Select) else q
+            return q.body if plain else q
         return self.select()
 
     def select(self) -> A.Select:
@@ -362,14 +364,19 @@ class Parser:
             self.at += neg
             if self.word("in"):
                 self.need_op("(")
-                if self.is_word("select", "with") or self.is_op("(") and self.is_word("select", k=1):
-                    e = A.InQuery(e, self.query(), neg)
-                else:
+                mark = self.at
+                try:
+                    if self.is_word("select", "with"):
+                        raise SyntaxProblem("not a list")
                     items = [self.expr()]
                     while self.op(","):
                         items.append(self.expr())
+                    self.need_op(")")
                     e = A.InList(e, tuple(items), neg)
-                self.need_op(")")
+                except SyntaxProblem:
+                    self.at = mark
+                    e = A.InQuery(e, self.query(), neg)
+                    self.need_op(")")
             elif self.is_word("like", "ilike"):
                 op = self.peek()[1].upper()
                 self.at += 1
