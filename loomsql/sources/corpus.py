@@ -11,7 +11,7 @@ from ..dialect.schema import parse_ddl
 
 def sql_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(text): the statements of SQL files, cut at semicolons. Comment lines and blanks fall away."""
-    rows = spark.read.text(path, lineSep=";").select(F.trim(F.regexp_replace("value", r"(?m)^\s*--[^\n]*$", "")).alias("text"))
+    rows = spark.read.text(path, lineSep=";").select(F.regexp_replace(F.regexp_replace("value", r"(?m)^\s*--[^\n]*$", ""), r"^\s+|\s+$", "").alias("text"))
     return rows.filter(r"text rlike '\\S'")
 
 
