@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def linked_sources(df: DataFrame, id_col: str, text_col: str, source_col: str) -
 
 
 def place(weights: list[tuple[str, int]], targets: dict[str, float]) -> dict[str, str]:
-    """Large components, heaviest first, each to the split that lacks most; then moves that lessen the total error."""
+    """Large components, heaviest first, each to the split that lacks most; then moves and swaps that lessen the total error."""
     lack = dict(targets)
     heap = [(-v, k) for k, v in lack.items()]
     heapq.heapify(heap)
@@ -63,17 +64,23 @@ def place(weights: list[tuple[str, int]], targets: dict[str, float]) -> dict[str
         placed[name] = split
         lack[split] -= w
         heapq.heapreplace(heap, (-lack[split], split))
-    for _ in range(3):
-        moved = False
-        for name, w in sorted(weights, key=lambda x: (-x[1], x[0])):
-            a = placed[name]
-            b = min(lack, key=lambda s: (abs(lack[s] - w) - abs(lack[s]), s) if s != a else (float("inf"), s))
-            if abs(lack[a] + w) + abs(lack[b] - w) < abs(lack[a]) + abs(lack[b]) - 1e-9:
-                placed[name], moved = b, True
-                lack[a] += w
-                lack[b] -= w
-        if not moved:
+    for _ in range(200):  # each step lessens the total error; the number of components is bounded
+        over, under = min(lack, key=lambda k: (lack[k], k)), max(lack, key=lambda k: (lack[k], k))
+        mine = [(w, n) for n, w in weights if placed[n] == over]
+        theirs = [(0, ""), *((w, n) for n, w in weights if placed[n] == under)]
+        if not mine or over == under:
             break
+        a, b = np.array([w for w, _ in mine], float), np.array([w for w, _ in theirs], float)
+        shift = a[:, None] - b[None, :]
+        error = abs(lack[over] + shift) + abs(lack[under] - shift)
+        i, j = np.unravel_index(int(error.argmin()), error.shape)
+        if error[i, j] >= abs(lack[over]) + abs(lack[under]) - 1e-9:
+            break
+        placed[mine[i][1]] = under
+        if theirs[j][1]:
+            placed[theirs[j][1]] = over
+        lack[over] += shift[i, j]
+        lack[under] -= shift[i, j]
     return placed
 
 
