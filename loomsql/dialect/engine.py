@@ -8,6 +8,7 @@ from . import ast as A
 from .binder import Binder, Bound, Relation
 from .parser import parse
 from .render_spark import Renderer
+from .rewrite import shallow
 from .schema import relation_of
 
 #: Keys of the tables that have one; lineitem has none.
@@ -39,6 +40,9 @@ class Engine:
 
     def to_spark(self, q: A.Query | str) -> str:
         binder, bound = self.bind(q)
+        flat = shallow(bound.query)
+        if flat != bound.query:
+            binder, bound = self.bind(flat)
         return Renderer(binder).query(self.settled(bound.query, binder))
 
     def settled(self, q: A.Query, binder: Binder) -> A.Query:

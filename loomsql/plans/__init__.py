@@ -1,4 +1,4 @@
-from . import constructs, meta, nested, tpch  # noqa: F401
+from . import constructs, events, meta, nested, tpch  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 

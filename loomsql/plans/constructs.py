@@ -123,6 +123,11 @@ CONSTRUCTS: list[tuple[str, ...]] = [
     ("scalar_in_group", "SELECT n_regionkey, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS r, count(*) AS n FROM nation GROUP BY n_regionkey"),
     ("scalar_in_order", "SELECT n_name FROM nation ORDER BY (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) DESC, n_name LIMIT 9"),
     ("subquery_in_having", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > (SELECT count(*) / 25 FROM customer)", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > (SELECT count(*) // 25 FROM customer)"),
+    ("deep_correlation", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal * 20 > o_totalprice))"),
+    ("deep_not_exists", "SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > c_acctbal - 9000))"),
+    ("deep_scalar", "SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > (SELECT avg(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey OR s_nationkey = n_regionkey)) AS v FROM nation"),
+    ("deep_in", "SELECT r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 5 = r_regionkey))"),
+    ("mixed_outer_agg", "SELECT n_nationkey, (SELECT max(s_suppkey + n_regionkey) FROM supplier WHERE s_nationkey = n_nationkey) AS v FROM nation"),
     ("lateral_join", "SELECT n_name, m FROM nation, LATERAL (SELECT max(c_acctbal) AS m FROM customer WHERE c_nationkey = n_nationkey) AS x"),
     # numbers
     ("arith", "SELECT o_orderkey, o_orderkey + o_custkey AS a, o_orderkey - o_custkey AS b, o_orderkey * 3 AS c, -o_orderkey AS d, +o_orderkey AS e, o_orderkey % 7 AS f FROM orders"),
