@@ -23,6 +23,9 @@ from .copies import _canonical, staged, trimmed_lower, verify
 
 #: Components heavier than a 1/LARGE share of all records are placed one by one; there are fewer than LARGE of them.
 LARGE = 2000
+#: A statement with more rows than this is compared in so many parts.
+HOT, PARTS = 50_000, 64
+CHECKED = "rep_id bigint, sig bigint, key string, first_key string, class bigint, text string, ok boolean"
 
 
 def statement_sources(df: DataFrame, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -31,20 +34,34 @@ def statement_sources(df: DataFrame, id_col: str, text_col: str, source_col: str
     Also the tasks' own copies (rep_id, copy_id).
     """
     reps, edges = staged(df, scratch, id_col, text_col, trimmed_lower(F.col(source_col)))
-    w = Window.partitionBy("sig").orderBy(F.col("key").asc_nulls_last(), "rep_id")
-    rn = F.row_number().over(w)
-    compared = reps.select("rep_id", "sig", "key", "text", rn.alias("rn"), F.first("key").over(w).alias("first_key"), F.first("rep_id").over(w).alias("class"), F.first("text").over(w).alias("first_text"))
-    later = F.col("rn") > 1
-    compared = compared.select("rep_id", "sig", "key", "first_key", "class", F.when(later, F.col("text")).alias("text"), F.when(later, F.col("first_text")).alias("first_text"))
-    checked = scratch.write(compared.mapInArrow(verify, "rep_id bigint, sig bigint, key string, first_key string, class bigint, text string, ok boolean"), "checked")
+    # A statement held in very many sources is compared in parts, and the parts' first rows with each other.
+    many = reps.groupBy("sig").count().filter(F.col("count") > HOT)
+    hot = scratch.write(many.select("sig", F.lit(True).alias("hot")), "hot")
+    parts = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "rep_id"), F.lit(PARTS))).otherwise(F.lit(0))
+    spread = reps.withColumn("part", F.lit(0).cast("bigint")) if hot.isEmpty() else reps.join(hot, "sig", "left").withColumn("part", parts).drop("hot")
+    checked = scratch.write(compared(spread, ["sig", "part"]).mapInArrow(verify, CHECKED), "checked")
     classes = checked.filter("ok").select("rep_id", "key", "first_key", "class")
+    if not hot.isEmpty():
+        firsts = reps.join(hot, "sig", "left_semi").join(checked.filter("ok and rep_id = class").select("rep_id"), "rep_id")
+        again = scratch.write(compared(firsts, ["sig"]).mapInArrow(verify, CHECKED), "firsts").filter("ok")
+        whole = again.select(F.col("rep_id").alias("class"), F.col("class").alias("whole"), F.col("first_key").alias("whole_key"))
+        classes = classes.join(whole, "class", "left").select("rep_id", "key", F.when(F.col("whole").isNull(), F.col("first_key")).otherwise(F.col("whole_key")).alias("first_key"), F.coalesce("whole", "class").alias("class"))
     collided = checked.filter("not ok")
     if not collided.isEmpty():
         exact = Window.partitionBy("sig", _canonical("text"))
         classes = classes.unionByName(collided.select("rep_id", "key", F.min("key").over(exact).alias("first_key"), F.min("rep_id").over(exact).alias("class")))
+    scratch.drop("stage/kind=r")
     return classes, edges
 
 
+def compared(reps: DataFrame, by: list[str]) -> DataFrame:
+    """Every row with the first of its group, to be verified: least source, then least id."""
+    w = Window.partitionBy(*by).orderBy(F.col("key").asc_nulls_last(), "rep_id")
+    rows = reps.select("rep_id", "sig", "key", "text", F.row_number().over(w).alias("rn"), F.first("key").over(w).alias("first_key"), F.first("rep_id").over(w).alias("class"), F.first("text").over(w).alias("first_text"))
+    later = F.col("rn") > 1
+    return rows.select("rep_id", "sig", "key", "first_key", "class", F.when(later, F.col("text")).alias("text"), F.when(later, F.col("first_text")).alias("first_text"))
+
+
 def linked_sources(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(first_source, source) for every source of a linked group but its least name."""
     scratch = Scratch(df.sparkSession, "sources")

@@ -148,3 +148,15 @@ def test_bucket_pairs_across_batches():
 def test_p5_on_the_tables(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/spider_query.parquet").select("query_id", "query").collect()]
     assert {tuple(r) for r in neardup.p5_found(spark, data).collect()} == brute_near(rows, 3, 0.6, 20)
+
+
+def test_statement_in_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(splits, "HOT", 10)
+    rows = [(i, f"db{i % 60:02d}" if i % 7 else None, "SELECT a,b FROM t" if i % 3 else f"SELECT {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "query_id long, db_id string, query string").repartition(5)
+    held = {d for _, d, q in rows if d and "a,b" in q}
+    got = {tuple(r) for r in splits.linked_sources(df, "query_id", "query", "db_id").collect()}
+    assert got == {(min(held), d) for d in held if d != min(held)}
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, proportion double")
+    units = {x["unit"] for x in splits.split_records(df, targets, "query_id", "query", "db_id").collect() if x["query_id"] % 3}
+    assert len(units) == 1
