@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ast as A
 from .binder import Binder, Bound, Relation
-from .parser import parse
+from .parser import parse, parse_view
 from .render_spark import Renderer
 from .rewrite import shallow
 from .schema import relation_of
@@ -58,5 +58,20 @@ class Engine:
         return self.spark.sql(self.to_spark(q))
 
 
+    def create_view(self, text: str) -> DataFrame:
+        """Runs CREATE VIEW: the query becomes one of the engine's tables."""
+        found = parse_view(text)
+        if found is None:
+            raise ValueError("CREATE VIEW expected")
+        name, columns, q = found
+        df = self.sql(q)
+        if len(columns) > len(df.columns):
+            raise ValueError(f"{name} has {len(df.columns)} columns, not {len(columns)}")
+        df = df.toDF(*columns, *df.columns[len(columns) :])
+        self.tables[name] = df
+        self.schema[name] = relation_of(name, df.schema)
+        return df
+
+
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return Engine.over(spark, sf_dir, text).sql(text)

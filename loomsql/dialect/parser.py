@@ -47,10 +47,33 @@ def tokens(text: str) -> list[tuple[str, str]]:
     return out
 
 
+SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+MONTHS = {"month": 1, "year": 12}
+
+
+def interval(text: str) -> A.Literal:
+    """One literal for '1 day', '2 hours 30 minutes', '1 day 02:03:04' or '1 year 2 months'; days and months don't mix (R9)."""
+    parts = re.findall(r"(-?\d+)\s*(second|minute|hour|day|week|month|year)s?\b", text, re.I)
+    clock = re.search(r"(?<![\d:])(\d+):(\d\d)(?::(\d\d))?", text)
+    left = re.sub(r"-?\d+\s*(?:second|minute|hour|day|week|month|year)s?\b|\d+:\d\d(?::\d\d)?", "", text, flags=re.I).strip()
+    if left or not parts and not clock:
+        raise SyntaxProblem(f"interval {text!r}")
+    units = [(int(n), u.lower()) for n, u in parts]
+    if len(units) == 1 and not clock:
+        return A.Literal("interval", str(units[0][0]), units[0][1])
+    if clock:
+        units += [(int(n or 0), u) for n, u in zip(clock.groups(), ("hour", "minute", "second"))]
+    for table, unit in ((SECONDS, "second"), (MONTHS, "month")):
+        if all(u in table for _, u in units):
+            return A.Literal("interval", str(sum(n * table[u] for n, u in units)), unit)
+    raise SyntaxProblem(f"interval {text!r} mixes days and months")
+
+
 class Parser:
     def __init__(self, text: str):
         self.toks = tokens(text)
         self.at = 0
+        self.top: A.Expr | None = None  # SELECT TOP n or FIRST n of the query being read
 
     # tokens
 
@@ -132,9 +155,11 @@ class Parser:
                 self.need_op(")")
                 if not self.op(","):
                     break
+        outer, self.top = self.top, None
         body = self.set_expr(0)
         order: tuple[A.OrderItem, ...] = ()
-        limit = offset = None
+        limit, offset = self.top, None
+        self.top = outer
         if self.word("order"):
             self.need_word("by")
             order = self.order_items()
@@ -174,8 +199,14 @@ class Parser:
 
     def select(self) -> A.Select:
         self.need_word("select")
+        if self.is_word("top", "first") and self.peek(1)[0] == "number":
+            self.at += 1
+            self.top = self.primary()
         distinct = self.word("distinct")
         self.word("all")
+        if self.is_word("top", "first") and self.peek(1)[0] == "number":
+            self.at += 1
+            self.top = self.primary()
         items = [self.select_item()]
         while self.op(","):
             items.append(self.select_item())
@@ -399,7 +430,10 @@ class Parser:
         left = self.multiplicative()
         while self.is_op("+", "-"):
             op = self.op("+", "-")
-            left = A.Binary(op, left, self.multiplicative())
+            right = self.multiplicative()
+            if isinstance(right, A.Literal) and right.kind == "int" and self.word("days"):
+                right = A.Literal("interval", right.value, "day")  # date + 14 days
+            left = A.Binary(op, left, right)
         return left
 
     def multiplicative(self) -> A.Expr:
@@ -572,10 +606,7 @@ class Parser:
                 unit = self.peek()[1].lower()
                 self.at += 1
                 return A.Literal("interval", lit.value.strip(), unit)
-            m = re.fullmatch(r"\s*(-?\d+)\s*(second|minute|hour|day|week|month|year)s?\s*", lit.value, re.I)
-            if m:
-                return A.Literal("interval", m[1], m[2].lower())
-            raise SyntaxProblem(f"interval {lit.value!r}")
+            return interval(lit.value)
         return lit
 
     def p_exists(self) -> A.Expr:
@@ -663,3 +694,18 @@ class Parser:
 
 def parse(text: str) -> A.Query:
     return Parser(text).statement()
+
+
+def parse_view(text: str) -> tuple[str, tuple[str, ...], A.Query] | None:
+    """(name, column names, query) of CREATE VIEW; None if the text is something else."""
+    p = Parser(text)
+    if not p.word("create"):
+        return None
+    if p.word("or"):
+        p.need_word("replace")
+    p.word("temporary", "temp")
+    if not p.word("view"):
+        return None
+    name, columns = p.name(), p.names_in_parens()
+    p.need_word("as")
+    return name, columns, p.statement()

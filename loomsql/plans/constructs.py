@@ -66,6 +66,8 @@ CONSTRUCTS: list[tuple[str, ...]] = [
     ("full_join_theta", "SELECT a.n_nationkey AS x, b.r_regionkey AS y FROM nation AS a FULL JOIN region AS b ON a.n_nationkey < b.r_regionkey - 2"),
     ("theta_join", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
     ("self_join", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer AS a JOIN customer AS b ON a.c_custkey = b.c_custkey + 1"),
+    ("join_using", "SELECT * FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) AS a JOIN (SELECT c_custkey AS k, c_name FROM customer) AS b USING (k)"),
+    ("join_using_left", "SELECT k, n, m FROM (SELECT n_nationkey AS k, n_name AS n FROM nation) AS a LEFT JOIN (SELECT s_nationkey AS k, count(*) AS m FROM supplier GROUP BY s_nationkey) AS b USING (k)"),
     ("join_chain", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"),
     ("join_mixed", "SELECT r_name, n_name, s_name FROM region, nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE r_regionkey = n_regionkey"),
     ("join_on_subquery", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey AND r_regionkey IN (SELECT n_regionkey FROM nation WHERE n_nationkey < 3)"),
@@ -166,6 +168,9 @@ CONSTRUCTS: list[tuple[str, ...]] = [
     ("interval_plus_date", "SELECT o_orderkey, INTERVAL '2' day + CAST(o_orderdate AS date) AS d FROM orders"),
     ("ts_plus_interval", "SELECT event_id, ts + INTERVAL '90' minute AS a, ts - INTERVAL '1' week AS b FROM events", "SELECT event_id, ts + INTERVAL 90 MINUTE AS a, ts - INTERVAL 7 DAY AS b FROM events"),
     ("ts_minus_ts", "SELECT event_id, ts - TIMESTAMP '2020-01-01 00:00:00' > INTERVAL '1500' day AS a FROM events"),
+    ("interval_compound", "SELECT event_id, ts + INTERVAL '1 day 02:30:00' AS a, ts - INTERVAL '2 hours 15 minutes' AS b, ts + INTERVAL '1 year 2 months' AS c FROM events"),
+    ("select_top", "SELECT TOP 5 o_orderkey FROM orders ORDER BY o_orderkey DESC", "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 5"),
+    ("date_plus_days", "SELECT o_orderkey, CAST(o_orderdate AS date) + 14 days AS d FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS date) + INTERVAL 14 DAY AS d FROM orders"),
     ("interval_arith", "SELECT event_id, ts + (INTERVAL '1' day - INTERVAL '2' hour + INTERVAL '30' minute) AS a FROM events"),
     ("interval_neg", "SELECT event_id, ts + (-INTERVAL '36' hour) AS a FROM events", "SELECT event_id, ts - INTERVAL 36 HOUR AS a FROM events"),
     ("interval_agg", "SELECT event_type, CAST('2000-01-01 00:00:00' AS timestamp) + max(ts - TIMESTAMP '2020-01-01 00:00:00') AS mx, CAST('2000-01-01 00:00:00' AS timestamp) + min(ts - TIMESTAMP '2020-01-01 00:00:00') AS mn FROM events GROUP BY event_type",

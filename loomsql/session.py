@@ -41,9 +41,11 @@ def register_tables(spark: SparkSession, sf_dir: str, names: list[str] | None =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) a local one is set."""
+    """The folder all executors share. Only a local session that names none (tests) gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("a cluster must name a folder that all executors share in spark.checkpoint.dir")
         path = "file://" + tempfile.mkdtemp(prefix="loomsql-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

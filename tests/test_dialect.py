@@ -62,6 +62,31 @@ def test_names_and_types():
     assert [t for _, t in got.columns] == ["int", "double", "int", "date", "interval", "numeric", "int", "text", "bool", "bigint"]
 
 
+def test_using_merges_columns():
+    got = bind('SELECT * FROM r JOIN s USING (a)')
+    assert [n for n, _ in got.columns] == ["a", "b", "c", "d", "e", "k", "Odd Name", "price"]
+    bind("SELECT a FROM r LEFT JOIN s USING (a) WHERE s.a IS NULL")
+    for bad in ("SELECT 1 FROM r JOIN s USING (b)", "SELECT 1 FROM r FULL JOIN s USING (a)"):
+        with pytest.raises(BindProblem):
+            bind(bad)
+
+
+def test_intervals():
+    lit = lambda t: parse(f"SELECT INTERVAL '{t}'").body.items[0].e
+    assert lit("3 days") == A.Literal("interval", "3", "day") and lit("1 day 02:03:04") == A.Literal("interval", str(86400 + 7384), "second") and lit("1 year 2 months") == A.Literal("interval", "14", "month")
+    for bad in ("1 month 1 day", "soon", "3 parsecs"):
+        with pytest.raises(SyntaxProblem):
+            lit(bad)
+
+
+def test_views(spark):
+    engine = Engine(spark, {"t": spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")})
+    engine.create_view("CREATE VIEW v (k) AS SELECT a + 1, b FROM t WHERE a > 1")
+    assert [tuple(r) for r in engine.sql("SELECT k, b FROM v").collect()] == [(3, "y")]
+    with pytest.raises(ValueError):
+        engine.create_view("SELECT 1")
+
+
 def test_keys_and_ddl():
     assert SCHEMA["s"].key == ("a", "k") and SCHEMA["s"].columns[2] == ("Odd Name", "text") and SCHEMA["s"].columns[3][1] == "numeric(10,2)"
     bind("SELECT b, c FROM r GROUP BY a")
