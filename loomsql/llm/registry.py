@@ -24,5 +24,51 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Statements without what layout changes, the outermost list's items sorted. Commas inside parentheses are made safe first.
+FORMS = r"""
+forms AS (
+  SELECT query_id, lower(regexp_replace(db_id, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) AS db, db_id IS NULL AS no_db,
+         lower(regexp_replace(query, '[\s\x{a0};''"`\[\]]', '', 'g')) AS s FROM spider_query WHERE query IS NOT NULL AND regexp_matches(query, '[^\s\x{a0}]')),
+cut AS (
+  SELECT *, regexp_extract(s, '^select(?:distinct)?') AS head, regexp_extract(s, '^select(?:distinct)?(.*?)from', 1) AS list FROM forms),
+even AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(list, '(\([^(),]*),', '\1;', 'g'), '(\([^(),]*),', '\1;', 'g'), '(\([^(),]*),', '\1;', 'g') AS items,
+         substr(s, length(head) + length(list) + 1) AS rest FROM cut),
+canon AS (SELECT query_id, CASE WHEN no_db THEN NULL ELSE db END AS db, head || '|' || array_to_string(list_sort(string_split(items, ',')), ',') || '|' || rest AS form FROM even)"""
+ORACLES = {
+    "p2_found": rf"""
+WITH 
+{FORMS}, kept AS (SELECT *, min(query_id) OVER (PARTITION BY db, form) AS kept_id FROM canon)
+SELECT kept_id, query_id AS copy_id FROM kept WHERE query_id <> kept_id""",
+    "p2_counts": rf"""
+WITH {FORMS}
+SELECT min(query_id) AS kept_id, count(*) AS n_records FROM canon GROUP BY db, form""",
+    "p3_found": rf"""
+WITH RECURSIVE {FORMS}, held AS (SELECT DISTINCT form, db FROM canon WHERE db IS NOT NULL),
+links AS (SELECT DISTINCT a.db AS a, b.db AS b FROM held AS a JOIN held AS b ON a.form = b.form AND a.db <> b.db),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a)
+SELECT min(b) AS first_db_id, a AS db_id FROM reach GROUP BY a HAVING min(b) < a""",
+    "p5_found": r"""
+WITH RECURSIVE words AS (
+  SELECT query_id, regexp_extract_all(lower(query), '\w+') AS w FROM spider_query WHERE query IS NOT NULL),
+texts AS (SELECT w, min(query_id) AS id FROM words WHERE len(w) >= 20 GROUP BY w),
+grams AS (SELECT DISTINCT id, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM grams AS a JOIN grams AS b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+near AS (SELECT a, b FROM shared JOIN sizes AS s ON s.id = a JOIN sizes AS t ON t.id = b WHERE shared.n >= 0.6 * (s.n + t.n - shared.n)),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
+firsts AS (SELECT a AS id, least(a, min(b)) AS first_id FROM reach GROUP BY a),
+members AS (SELECT query_id, id FROM words JOIN texts USING (w))
+SELECT coalesce(first_id, id) AS first_id, query_id FROM members LEFT JOIN firsts USING (id) WHERE query_id <> coalesce(first_id, id)""",
+    "p7_found": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_item WHERE item_text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+eg AS (SELECT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
