@@ -19,7 +19,29 @@ def _direction() -> F.Column:
     return F.when(asc.isin("true", "t"), "order_asc").when(asc.isin("false", "f"), "order_desc").otherwise("order_default")
 
 
-@query("p4_found")
+#: The same rows from DuckDB's JSON tree, walked down by a recursive query.
+FOUND = r"""
+WITH RECURSIVE tree AS (
+  SELECT sql_id, t.id AS id, t.parent AS parent, t.key AS key, t.type AS type, t.atom AS atom FROM (SELECT sql_id, ast_json FROM sample_sqls WHERE json_valid(ast_json)) AS d, json_tree(d.ast_json) AS t),
+bodies AS (SELECT DISTINCT sql_id, parent AS id FROM tree WHERE key = 'body'),
+directions AS (SELECT sql_id, parent AS id, CASE WHEN type = 'NULL' THEN NULL ELSE lower(trim(CAST(atom AS VARCHAR), '"')) END AS way FROM tree WHERE key = 'asc'),
+marked AS (
+  SELECT c.sql_id, c.id, c.parent, c.key, b.id IS NOT NULL AND c.type = 'OBJECT' AS is_query, p.type = 'ARRAY' AND p.key = 'cte_tables' AS is_cte, p.type = 'ARRAY' AND p.key = 'order_by' AS is_order,
+         c.key = 'limit' AND c.type <> 'NULL' AND pb.id IS NOT NULL AND p.type = 'OBJECT' AS is_limit, w.way
+  FROM tree AS c LEFT JOIN tree AS p ON p.sql_id = c.sql_id AND p.id = c.parent LEFT JOIN bodies AS b ON b.sql_id = c.sql_id AND b.id = c.id
+  LEFT JOIN bodies AS pb ON pb.sql_id = c.sql_id AND pb.id = c.parent LEFT JOIN directions AS w ON w.sql_id = c.sql_id AND w.id = c.id),
+placed AS (
+  SELECT sql_id, id, '$' AS path, '' AS above, is_query, false AS is_cte, false AS is_order, false AS is_limit, way FROM marked WHERE parent IS NULL
+  UNION ALL
+  SELECT m.sql_id, m.id, p.path || '/' || m.key, CASE WHEN p.is_query OR p.is_cte OR p.is_order OR p.is_limit THEN p.path ELSE p.above END, m.is_query, m.is_cte, m.is_order, coalesce(m.is_limit, false), m.way
+  FROM placed AS p JOIN marked AS m ON m.sql_id = p.sql_id AND m.parent = p.id)
+SELECT sql_id, 'query' AS node_kind, path AS node_path, CASE WHEN is_cte OR is_order OR is_limit THEN path ELSE above END AS parent_path FROM placed WHERE is_query
+UNION ALL SELECT sql_id, 'cte', path, above FROM placed WHERE is_cte
+UNION ALL SELECT sql_id, CASE way WHEN 'true' THEN 'order_asc' WHEN 'false' THEN 'order_desc' ELSE 'order_default' END, path, above FROM placed WHERE is_order
+UNION ALL SELECT sql_id, 'limit', path, above FROM placed WHERE is_limit"""
+
+
+@query("p4_found", FOUND)
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     # One pass: the rows of a table and what is inlined in them come out of the same row.
