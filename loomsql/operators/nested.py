@@ -145,22 +145,38 @@ def _names(value: object, member: str, in_array: bool, owner: object, rules: tup
 
 def walk(root: object, rules: tuple[Rule, ...], keep: frozenset[str] | None) -> Iterator[tuple]:
     """(element, path, parent element, parent path, value, ordinal, repeated) in document order of every named element."""
+    by_member: dict[str | None, list[Rule]] = {}
+    for r in rules:
+        by_member.setdefault(r.member, []).append(r)
+    of_shape = by_member.pop(None, [])
+    rank = {id(r): k for k, r in enumerate(rules)}
+    plain = keep is not None  # then a value without a rule of its own that holds nothing needs no look
     stack: list[tuple] = [(root, "$", "", "", "", False, None, 0)]
     while stack:
         value, path, parent, parent_path, member, in_array, owner, ordinal = stack.pop()
-        names = _names(value, member, in_array, owner, rules)
-        if keep is None and not names and not isinstance(value, list) and (isinstance(value, dict) or in_array):
-            names = [member or "root"]
-        for name in names:
+        here = by_member.get(member)
+        found = here + of_shape if here else of_shape
+        names = [r for r in found if r.fits(value, member, in_array, owner)] if found else found
+        if len(names) > 1:
+            names = sorted(names, key=lambda r: rank[id(r)])
+        labels = [r.name for r in names]
+        if not plain and not labels and not isinstance(value, list) and (isinstance(value, dict) or in_array):
+            labels = [member or "root"]
+        for name in labels:
             if keep is None or name in keep:
                 yield name, path, parent, parent_path, value, ordinal, in_array
                 parent, parent_path = name, path
         if isinstance(value, dict):
             for k in reversed(value):
-                stack.append((value[k], f"{path}/{k}", parent, parent_path, k, False, value, 0))
+                v = value[k]
+                if not plain or k in by_member or isinstance(v, (dict, list)):
+                    stack.append((v, f"{path}/{k}", parent, parent_path, k, False, value, 0))
         elif isinstance(value, list):
+            inner = "" if in_array else member
             for k in range(len(value) - 1, -1, -1):
-                stack.append((value[k], f"{path}/{k}", parent, parent_path, "" if in_array else member, True, owner, k))
+                v = value[k]
+                if not plain or inner in by_member or isinstance(v, (dict, list)):
+                    stack.append((v, f"{path}/{k}", parent, parent_path, inner, True, owner, k))
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, object]]:
