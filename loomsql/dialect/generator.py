@@ -121,6 +121,10 @@ class Context:
             self.pools[t] = got
         return got
 
+    def around(self) -> list[Relation]:
+        """What a subquery here may refer to: nothing of a grouped query, whose rows are no longer there."""
+        return self.relations if self.grouped is None and self.columns else []
+
     def inner(self) -> "Context":
         """For arguments of aggregates."""
         return Context(self.relations, None, False, self.columns, self.depth)
@@ -194,12 +198,12 @@ class Walker:
 
     # queries
 
-    def query(self, depth: int = 0, types: list[str] | None = None, single: bool = False, t: A.Query | None = None) -> tuple[A.Query, list[tuple[str, str]]]:
+    def query(self, depth: int = 0, types: list[str] | None = None, single: bool = False, t: A.Query | None = None, outer: list[Relation] | None = None) -> tuple[A.Query, list[tuple[str, str]]]:
         if t is not None and (t.ctes or t.offset):
             raise NotRecognised("WITH and OFFSET aren't in the grammar")
         self.enter("query")
         o = self.option(["plain", "ordered"], t and ("ordered" if t.order_by else "plain"))
-        body, columns, ctx, select = self.body(depth, types, single, t.body if t else None)
+        body, columns, ctx, select = self.body(depth, types, single, t.body if t else None, outer)
         order: list[A.OrderItem] = []
         if o == "ordered":
             n = self.number("order items", 1, 2, len(t.order_by) if t else 0)
@@ -236,7 +240,7 @@ class Walker:
         self.leave()
         return A.OrderItem(e, asc, nulls)
 
-    def body(self, depth, types, single, t):
+    def body(self, depth, types, single, t, outer=None):
         self.enter("body")
         options = ["select"] if single else ["select", "union", "intersect", "except"] + ["query"] * (depth < MAX_DEPTH)
         if depth >= MAX_DEPTH:
@@ -248,7 +252,7 @@ class Walker:
                 raise NotRecognised("ALL isn't in the grammar")
         o = self.option(options, want)
         if o == "select":
-            out = self.select(depth, types, t)
+            out = self.select(depth, types, t, outer)
         elif o == "query":
             q, columns = self.query(depth + 1, types, False, t)
             plain = q.order_by or q.limit
@@ -283,12 +287,13 @@ class Walker:
             best = k if not best or k in NUMBERS and NUMBERS.index(k) > NUMBERS.index(best) else best
         return best
 
-    def select(self, depth, types, t):
+    def select(self, depth, types, t, outer=None):
         self.enter("select")
         distinct = self.option(["all", "distinct"], t and ("distinct" if t.distinct else "all")) == "distinct"
         relations: list[Relation] = []
         from_ = self.from_(relations, depth, t.from_ if t else None)
-        where = self.clause("where", Context(relations, depth=depth), t and (t.where or False))
+        # WHERE also sees the columns of the query right around this one.
+        where = self.clause("where", Context(relations + (outer or []), depth=depth), t and (t.where or False))
         group, grouped = self.group(relations, t)
         having = None
         if group:
@@ -542,7 +547,7 @@ class Walker:
             other = x(k, t.otherwise if g else None) if self.value("else", [True, False], t.otherwise is not None if g else None) else None
             return A.Case(operand, whens, other)
         if o == "scalar":
-            return A.Scalar(self.query(ctx.depth + 1, [k], True, t.query if g else None)[0])
+            return A.Scalar(self.query(ctx.depth + 1, [k], True, t.query if g else None, ctx.around())[0])
         if o == "aggregate":
             return self.aggregate(k, ctx, t)
         if o.startswith("unary "):
@@ -587,7 +592,7 @@ class Walker:
             e = x(self.type("null test type", ctx, t.e if g else None), t.e if g else None)
             return A.IsNull(e, self.value("negated", [False, True], t.negated if g else None))
         if o == "exists":
-            q = self.query(ctx.depth + 1, None, False, t.query if g else None)[0]
+            q = self.query(ctx.depth + 1, None, False, t.query if g else None, ctx.around())[0]
             return A.Exists(q, self.value("negated", [False, True], t.negated if g else None))
         # the operands below share one type
         left = {"compare": "left", "distinct": "left"}.get(o, "e")
@@ -616,7 +621,7 @@ class Walker:
             inner = k0 if k0 in NUMBERS and inner in NUMBERS and NUMBERS.index(k0) > NUMBERS.index(inner) else inner
         kk = self.value("operand type", [k for k in TYPES if k != "interval"] if not self.given else [], inner)
         e = x(kk, tl)
-        q = self.query(ctx.depth + 1, [kk], False, t.query if g else None)[0]
+        q = self.query(ctx.depth + 1, [kk], False, t.query if g else None, ctx.around())[0]
         if o == "in query":
             return A.InQuery(e, q, self.value("negated", [False, True], t.negated if g else None))
         op = self.value("comparison", list(COMPARISONS), t.op if g else None)
