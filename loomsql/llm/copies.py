@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..session import Scratch
-from .statements import Profile, canonical
+from .statements import Profile, canonical, sliced
 
 #: Bytes of text that one task keeps to recognise copies across its batches; beyond it the shuffle finds them.
 KEEP_BYTES = 16 << 20
@@ -40,7 +40,7 @@ def local_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(id, key, text) -> R rows (kind r) and E rows (kind e) of one task."""
     kept: dict[tuple, list] = {}  # (sig, key) -> [rep id, least id, text]
     size = 0
-    for batch in batches:
+    for batch in sliced(batches, 2):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         if not len(ids):
             continue
@@ -108,7 +108,7 @@ def _reps(rep: list, least: list, sig: list, key: list, text: list) -> pa.Record
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds ``ok``: whether ``text`` and ``first_text`` (null: nothing to compare) agree; drops texts that did."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in sliced(iter([whole]), whole.schema.names.index("text"))):
         names = batch.schema.names
         a, b = batch.column(names.index("text")), batch.column(names.index("first_text"))
         ok = np.ones(len(a), bool)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .statements import mix
+from .statements import mix, sliced
 
 WORDS = re.compile(r"[^\W_]+")
 SPAN = 12
@@ -52,7 +52,7 @@ def windows(only: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids = batch.column(0).to_numpy()
             texts = batch.column(1).to_pylist()
             for k in range(0, len(ids), 1000):

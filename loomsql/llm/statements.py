@@ -9,9 +9,11 @@ select list, each item of that list, and what follows; item hashes are added up,
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Skipped bytes: ASCII white space and separators, semicolon, quoting marks.
 SKIPPED = b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f;'\"`[]"
@@ -29,6 +31,23 @@ BASE1, BASE2 = 1_000_003, 998_244_341
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose texts in one column hold at most ``limit`` bytes, or of one row.
+
+    Vectorised work takes some 50 bytes for each byte of text, so this bounds a task's memory whatever the texts' length.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def powers(n: int) -> list[np.ndarray]:
     """The first n powers of both bases; the tables double as longer segments come."""
     for k, (base, mod) in enumerate(((BASE1, MOD1), (BASE2, MOD2))):

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomsql.llm import copies
-from loomsql.llm.statements import Profile, canonical, select_list
+from loomsql.llm.statements import Profile, canonical, select_list, sliced
 
 
 def test_select_list():
@@ -105,6 +105,14 @@ def test_local_classes_survive_collisions(monkeypatch):
         assert {r["rep_id"] for r in out if r["kind"] == "r"} | {r["copy_id"] for r in out if r["kind"] == "e"} == {1, 2, 3, 4}
 
 
+def test_slices():
+    texts = ["x" * n for n in (3, 9, 0, 30, 1, 1, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["id", "text"])
+    parts = list(sliced(iter([batch, batch.slice(0, 0), batch.slice(2, 3)]), 1, 10))
+    assert [p.num_rows for p in parts] == [1, 2, 1, 4, 1, 1, 1] and [x for p in parts[:4] for x in p.column(1).to_pylist()] == texts
+    assert Profile(batch.slice(1, 2).column(1)).signature.tolist() == Profile(pa.array(texts[1:3])).signature.tolist()
+
+
 def test_verify():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["select a", "select b", None]), pa.array(["SELECT a", "select c", None])], names=["rep_id", "text", "first_text"])
     assert next(copies.verify(iter([batch]))).to_pylist() == [{"rep_id": 1, "text": None, "ok": True}, {"rep_id": 2, "text": "select b", "ok": False}, {"rep_id": 3, "text": None, "ok": True}]
