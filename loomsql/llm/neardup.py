@@ -9,10 +9,11 @@ verified on the words themselves; verified links chain by :mod:`loomsql.llm.cont
 
 With the defaults a pair at the threshold 0.6 shares no band with probability (1 - 0.6^4)^60 = 2.4e-4, far less above it.
 
-Hot buckets: no bucket is turned into all its pairs. In a bucket of at most ``WINDOW + 1`` texts all pairs are compared;
-in a larger one each text meets the least id and its ``WINDOW`` predecessors. A task that sees more than ``HOT`` texts of
-one bucket in a batch compares them with the first and sends only that one on for those that link to it. A link that
-such a bucket leaves out is compared in the other bands its texts share.
+Hot buckets: in a bucket of at most ``WINDOW + 1`` texts all pairs are compared; in a larger one each text first meets the
+least id and its ``WINDOW`` predecessors, and the links found are contracted. Pairs inside one component need no more. The
+texts of larger buckets that hold several components are then joined exactly (:func:`across`): a pair at the threshold
+shares one of the first n - ceil(threshold * n) + 1 shingles of both texts in any common order (rarest first here), so
+every pair of different components among them is found with certainty, or ruled out by its sizes and positions.
 
 Defined results: null texts and texts of fewer than ``min_words`` words have no group; equal word sequences are linked;
 texts linked to nothing yield no row; an empty table yields no rows; further columns are ignored.
@@ -35,7 +36,7 @@ from .statements import mix, sliced
 
 WORDS = re.compile(r"\w+")
 WINDOW = 32
-HOT = 64
+SLOTS = 1 << 18
 KEEP_BYTES = 16 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 STAGE = "kind string, rep_id bigint, copy_id bigint, min_id bigint, wkey binary, words string"
@@ -150,8 +151,8 @@ def shingles(words: str, size: int) -> set:
     return set(zip(*(w[k:] for k in range(size)))) if len(w) >= size else {tuple(w)}
 
 
-def bucket_rows(size: int, threshold: float, bands: int, rows: int):
-    """(id, words) -> (key, id) for each band; locally hot buckets as pairs with their first text."""
+def bucket_rows(size: int, bands: int, rows: int):
+    """(id, words) -> (key, id) for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -159,33 +160,7 @@ def bucket_rows(size: int, threshold: float, bands: int, rows: int):
             texts = batch.column(1).to_pylist()
             row, h = shingle_hashes(texts, size)
             keys = band_keys(sketches(row, h, len(ids), bands * rows), rows)
-            flat, owner = keys.ravel(), np.repeat(np.arange(len(ids)), bands)
-            order = np.argsort(flat, kind="stable")
-            sorted_keys = flat[order]
-            starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
-            counts = np.diff(np.concatenate([starts, [len(flat)]]))
-            send = np.ones(len(flat), bool)
-            linked: dict[tuple[int, int], bool] = {}
-            sets: dict[int, set] = {}
-            for s in np.flatnonzero(counts > HOT):
-                at = order[starts[s] : starts[s] + counts[s]]
-                members = owner[at].tolist()
-                first = members[0]
-                for pos, m in zip(at[1:].tolist(), members[1:]):
-                    if (first, m) not in linked:
-                        for x in (first, m):
-                            if x not in sets:
-                                sets[x] = shingles(texts[x], size)
-                        linked[first, m] = jaccard(sets[first], sets[m]) >= threshold
-                    if linked[first, m]:
-                        send[pos] = False
-            out_key, out_id = [flat[send]], [ids[owner[send]]]
-            pairs = np.array([p for p, yes in linked.items() if yes], np.int64).reshape(-1, 2)
-            if len(pairs):
-                own = mix(mix(ids[pairs[:, 0]].astype(np.uint64)) + ids[pairs[:, 1]].astype(np.uint64))
-                out_key += [own, own]
-                out_id += [ids[pairs[:, 0]], ids[pairs[:, 1]]]
-            key, who = np.concatenate(out_key).view(np.int64), np.concatenate(out_id)
+            key, who = keys.ravel().view(np.int64), np.repeat(ids, bands)
             for k in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(who[k : k + 100_000])], names=["key", "id"])
 
@@ -193,7 +168,13 @@ def bucket_rows(size: int, threshold: float, bands: int, rows: int):
 
 
 def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) in order of key and id -> candidate pairs (a, b), a < b. Carries the end of the last bucket along."""
+    """(key, id) in order of key and id -> candidate pairs (a, b), a < b."""
+    for batch in flagged_pairs(batches):
+        yield batch.select(["a", "b"])
+
+
+def flagged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same with ``far``: a is the least id of a bucket too large for all its pairs. Carries the last bucket's end along."""
     tail_key, tail, leader = None, np.empty(0, np.int64), 0
     for batch in batches:
         key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -221,8 +202,10 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = np.concatenate([x for _, x in found])
         differ = a != b
         if differ.any():
-            pairs = np.unique(np.stack([a[differ], b[differ]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            large = np.zeros(len(a), np.int64)
+            large[len(a) - len(far) :] = far - start_of[far] >= WINDOW
+            pairs = np.unique(np.stack([a[differ], b[differ], large[differ]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] > 0)], names=["a", "b", "far"])
         last = start_of[-1]
         tail_key, leader = key[-1], int(first[-1])
         tail = ids[max(last, len(ids) - WINDOW) :]
@@ -244,6 +227,83 @@ def verified(size: int, threshold: float):
     return run
 
 
+def slot_counts(size: int):
+    """(id, comp, words) -> (slot, n): how many texts have a shingle of each of ``SLOTS`` hash slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in sliced(batches, 2):
+            _, h = shingle_hashes(batch.column(2).to_pylist(), size)
+            total += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
+
+    return run
+
+
+def prefixes(size: int, threshold: float, common: np.ndarray):
+    """(id, comp, words) -> (token, id, comp, n, pos): the rarest shingles of a text, enough to meet every text at the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2):
+            row, h = shingle_hashes(batch.column(2).to_pylist(), size)
+            order = np.lexsort((h, common[(h % np.uint64(SLOTS)).astype(np.int64)], row))
+            row, h = row[order], h[order]
+            n = np.bincount(row, minlength=batch.num_rows)
+            pos = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            keep = np.flatnonzero(pos <= (n - np.ceil(threshold * n - 1e-9))[row])
+            row = row[keep]
+            who = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(n[row].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["token", "id", "comp", "n", "pos"])
+
+    return run
+
+
+def with_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    joined = pairs.join(docs.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a").join(docs.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
+    return joined.select("a", "b", "words_a", "words_b")
+
+
+def across(docs: DataFrame, pairs: DataFrame, labels: DataFrame, scratch: Scratch, size: int, threshold: float) -> DataFrame | None:
+    """Links (a, b) between different components of the texts whose large buckets hold several; None if there are none.
+
+    In the group of a shingle the texts outside its largest component meet all others, so a big family costs no more than
+    its rows times the strays among them.
+    """
+    far = pairs.groupBy("a").agg(F.bool_or("far").alias("far")).filter("far").select("a")
+    label = labels.select(F.col("vertex").alias("id"), F.col("root").alias("comp"))
+    around = pairs.join(far, "a", "left_semi").select("a", "b")
+    around = around.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    around = scratch.write(around.select("a", "b", (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("mixed")), "around")
+    mixed = around.filter("mixed").select("a").distinct()
+    members = scratch.write(around.join(mixed, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
+    if members.isEmpty():
+        return None
+    texts = docs.join(members, "id", "left_semi").join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "words")
+    texts = scratch.write(texts, "strays")
+    counts = texts.mapInArrow(slot_counts(size), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(SLOTS, np.int64)
+    common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    rare = scratch.write(texts.mapInArrow(prefixes(size, threshold, common), "token bigint, id bigint, comp bigint, n int, pos int"), "rare")
+    by_comp = rare.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    giants = by_comp.groupBy("token").agg(F.max_by("comp", "k").alias("giant"), F.count("*").alias("comps")).filter("comps > 1").select("token", "giant")
+    x = rare.join(giants, "token").filter("comp <> giant").select("token", "giant", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    met = x.join(rare, "token").filter("comp <> cx and (comp = giant or x < id)").filter(F.least("n", "nx") >= threshold * F.greatest("n", "nx") - 1e-9)
+    met = met.filter(F.least(F.col("n") - F.col("pos"), F.col("nx") - F.col("px")) >= threshold / (1 + threshold) * (F.col("n") + F.col("nx")) - 1e-6)
+    candidates = met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    return scratch.write(with_words(candidates, texts).mapInArrow(verified(size, threshold), "a bigint, b bigint"), "more")
+
+
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels (vertex, root) after further links."""
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(labels.select(F.col("vertex").alias(c), F.col("root").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    top = scratch.write(components(ends.select(F.col("ca").alias("u"), F.col("cb").alias("v")), scratch), "top")
+    moved = labels.join(top.select(F.col("vertex").alias("root"), F.col("root").alias("top")), "root", "left").select("vertex", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(top.join(labels.select("vertex"), "vertex", "left_anti"))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 5, threshold: float = 0.8, min_words: int = 1, bands: int = 60, rows: int = 4) -> DataFrame:
     """(first_id, id) for every record of a group but its least id, which is ``first_id``."""
     spark = df.sparkSession
@@ -256,11 +316,15 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 5, th
     reps = scratch.write(reps, "reps")
     scratch.drop("stage/kind=r")
     docs = reps.filter("words is not null").select(F.col("doc").alias("id"), "words")
-    buckets = docs.mapInArrow(bucket_rows(size, threshold, bands, rows), "key bigint, id bigint")
-    pairs = buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(bucket_pairs, "a bigint, b bigint").distinct()
-    joined = pairs.join(docs.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a").join(docs.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
-    links = joined.select("a", "b", "words_a", "words_b").mapInArrow(verified(size, threshold), "a bigint, b bigint")
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    buckets = docs.mapInArrow(bucket_rows(size, bands, rows), "key bigint, id bigint")
+    flagged = buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(flagged_pairs, "a bigint, b bigint, far boolean")
+    pairs = scratch.write(flagged.groupBy("a", "b").agg(F.bool_or("far").alias("far")), "pairs")
+    links = with_words(pairs.select("a", "b"), docs).mapInArrow(verified(size, threshold), "a bigint, b bigint")
+    labels = scratch.write(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "labels")
+    more = across(docs, pairs, labels, scratch, size, threshold)
+    scratch.drop("pairs")
+    if more is not None:
+        labels = merged(labels, more, Scratch(spark, "neardup-more"))
     least = labels.groupBy("root").agg(F.min("vertex").alias("first_id"))
     groups = labels.join(least, "root").select(F.col("vertex").alias("doc"), "first_id")
     classes = reps.select("rep_id", "doc").join(groups, "doc", "left").select("rep_id", F.coalesce("first_id", "doc").alias("first_id"))

@@ -116,6 +116,16 @@ def test_hot_bucket(spark):
     assert sorted(tuple(x) for x in got.collect()) == [(0, i) for i in range(3, 900, 3)]
 
 
+def test_hot_bucket_links_far_members(spark):
+    """Texts far from the least id and their predecessors, near one member of a big family only, join it."""
+    c = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(c[:20] + [f"x{i}"] + c[20:])) for i in range(200)]
+    rows += [(1000 + j, " ".join(c[2:20] + [f"x{3 * j + 40}"] + c[20:25] + [f"z{j}_{k}" for k in range(4)])) for j in range(40)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc long, body string"), "doc", "body", 3, 0.6, 20, bands=12, rows=1)
+    want = brute_near(rows, 3, 0.6, 20)
+    assert len(want) == 239 and {tuple(x) for x in got.collect()} == want
+
+
 def test_sketch_estimates_similarity():
     import numpy as np
 
