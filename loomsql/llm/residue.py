@@ -45,7 +45,9 @@ FILLER = re.compile(
     r"|hier (?:steht|kommt).{0,20}text|text folgt|ins[ée]rez votre texte ici|votre (?:texte|titre) ici|texte (?:à venir|de remplissage|d'exemple)|contenu à venir|aqu[ií] va (?:el|su) \w+|texto (?:de relleno|de ejemplo|aqu[ií])|pr[óo]ximamente|bientôt disponible|inhalt folgt)",
 )
 SCRIPT = r"(?:java ?scripts?|js|ecmascript|(?:active |client-side )?script(?:s|ing)?(?: support)?|noscript)"
-SCRIPT_WORD = re.compile(rf"(?<![\w.]){SCRIPT}(?![\w])")
+#: A word for scripts; letters of writing without spaces may touch it.
+CJK = r"\u3005-\u30ff\u3400-\u9fff\uac00-\ud7af"
+SCRIPT_WORD = re.compile(rf"(?<![^\W{CJK}])(?<!\.){SCRIPT}(?![^\W{CJK}])")
 SWITCH = r"(?:enabl\w+|activat\w+|allow\w*|permit\w*|turn(?:ed)? on|turn on|switch(?:ed)? on|unblock\w*|switch\w* off|turned off|disabled|deactivated|blocked|off|requires?|required|needs?|needed|without|support\w*|must be|only)"
 SCRIPT_NOTICE = re.compile(
     r"(?:"
@@ -144,7 +146,7 @@ def judge_sentence(s: str) -> str:
         if FURNITURE.fullmatch(bare):
             return "furniture"
         named = SCRIPT_WORD.search(bare)
-        if (named or len(words) <= 14 and RELOAD.search(bare)) and SCRIPT_NOTICE.fullmatch(bare) or ERROR_PAGE.fullmatch(bare):
+        if (named or RELOAD.search(bare)) and SCRIPT_NOTICE.fullmatch(bare) or ERROR_PAGE.fullmatch(bare):
             return "evidence"
     return "content"
 

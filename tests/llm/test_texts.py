@@ -100,6 +100,12 @@ def test_residue(spark):
     assert [r[0] for r in twice.collect()] == [0, 0]
 
 
+@pytest.mark.parametrize("notice", ["JavaScriptを有効にしてください。", "请启用JavaScript后重试", "请在浏览器中启用JavaScript。", "JavaScript를 활성화하세요"])
+def test_script_notices_without_spaces(notice):
+    assert residue.judge_sentence(residue.cleaned(notice)) == "evidence"
+    assert residue.judge_sentence("the page will not be saved without a description.") == "content"
+
+
 def test_furniture_by_host(spark):
     """A line no rule knows is furniture where it recurs, and content elsewhere."""
     rows = [(i, f"A long enough text on the matter number {i} stands here.\nWiki of the mill", "a") for i in range(40)] + [(100, "Wiki of the mill\nError 404: not found", "a"), (101, "Wiki of the mill\nError 404: not found", "b")]
