@@ -16,9 +16,10 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -119,6 +120,8 @@ TAG = re.compile(r"</?(?:eos|bos|pad|unk|sep|cls|mask|s|br|p|b|i|u|em|strong|div
 TRACE_ID = re.compile(r"\W*(?=[0-9a-f-]*\d)[0-9a-f-]{4,40}\W*")
 MARK = "\ue000"
 MAX_FURNITURE_WORDS = 8
+#: At most so many keys of furniture lines are sent to tasks.
+MAX_SENT = 500_000
 
 
 def normal(line: str) -> str:
@@ -164,10 +167,23 @@ def cleaned(line: str) -> str:
     return line.strip().lower()
 
 
-def judge(text: str) -> tuple[bool, list[str]]:
-    """(whether there is evidence, normalised lines that hold content). The lines decide after the host's are subtracted."""
+def lines_of(text: str) -> list[str]:
+    return [x for x in re.split("[\\r\\n\\v\\f\\x85\\u2028\\u2029]+", text) if x]
+
+
+def line_key(host: str, line: str) -> int:
+    """A signed 64-bit hash of a host and a line."""
+    return int.from_bytes(blake2b(f"{host}\n{line}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def judge(text: str, host: str = "", known: frozenset | None = None) -> tuple[bool, list[int]]:
+    """(whether there is evidence, keys of the lines that hold content).
+
+    With ``known``, the keys of the hosts' furniture, such lines are passed over and the first other line of content ends
+    it: the text has content, whatever follows.
+    """
     evidence, content = False, []
-    for raw in re.split("[\\r\\n\\v\\f\\x85\\u2028\\u2029]+", text):
+    for raw in lines_of(text):
         line = cleaned(raw)
         if not line:
             continue
@@ -179,58 +195,68 @@ def judge(text: str) -> tuple[bool, list[str]]:
                     k = judge_sentence(s)
                     evidence |= k == "evidence"
                     left |= k == "content"
-                if left:
-                    break
             if left:
-                content.append(normal(line.replace(MARK, " ")))
-                if len(content[-1].split(" ")) > MAX_FURNITURE_WORDS:
-                    return evidence, content  # too long for furniture: the text has content
+                key = line_key(host, normal(line.replace(MARK, " ")))
+                if known is None or key not in known:
+                    content.append(key)
+                    if known is not None:
+                        return evidence, content
         else:
             evidence |= kind == "evidence"
-        if len(content) > 12:
-            break  # more lines than any furniture
     return evidence, content
 
 
-def short_lines(text: str) -> list[str]:
+def counted(text: str) -> set[str]:
     """Distinct normalised lines of few words."""
-    short = {x for x in text.splitlines() if x and len(x.split(None, MAX_FURNITURE_WORDS)) <= MAX_FURNITURE_WORDS}
-    return sorted({normal(x) for x in short} - {""})
+    return {normal(x) for x in lines_of(text) if len(x.split(None, MAX_FURNITURE_WORDS)) <= MAX_FURNITURE_WORDS} - {""}
 
 
-def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, host, text) -> (id, host, evidence, content, short); content only where there is evidence."""
+def line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, host, text) -> (host, line): keys of the lines of each text."""
     for batch in batches:
-        evidence, content, short = [], [], []
-        for text in batch.column(2).to_pylist():
-            e, c = judge(text)
-            evidence.append(e)
-            content.append(c if e else None)
-            short.append(short_lines(text))
-        lines = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(evidence, pa.bool_()), pa.array(content, lines), pa.array(short, lines)], names=["id", "host", "evidence", "content", "short"])
+        hosts, lines = [], []
+        for host, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            keys = {line_key(host, x) for x in counted(text)}
+            hosts += [host] * len(keys)
+            lines += keys
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(lines, pa.int64())], names=["host", "line"])
+
+
+def judged(known: frozenset | None):
+    """(id, host, text) -> (id, content) where there is evidence; with ``known`` only where no content is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, content = [], []
+            for k, (host, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                e, c = judge(text, host, known)
+                if e and (known is None or not c):
+                    keep.append(k)
+                    content.append(c)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(content, pa.list_(pa.int64()))], names=["id", "content"])
+
+    return run
 
 
 def residue(df: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int = 10, min_share: float = 0.01) -> DataFrame:
     """(id) of every document without content of its own.
 
-    A line of at most ``MAX_FURNITURE_WORDS`` words is a host's furniture if at least ``min_docs`` of its documents and a
-    share of ``min_share`` of them have it.
+    A line is a host's furniture if at least ``min_docs`` of its documents and a share of ``min_share`` of them have it.
+    At most ``MAX_SENT`` keys of furniture are sent to the tasks, which then read a text only up to its first content;
+    beyond that all lines are judged and their keys joined.
     """
     scratch = Scratch(df.sparkSession, "residue")
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.col(text_col).alias("text")).filter(r"text rlike '(?U)\\S'")
     kind = rows.schema["id"].dataType.simpleString()
-    stage = scratch.write(rows.mapInArrow(judged, f"id {kind}, host string, evidence boolean, content array<string>, short array<string>"), "judged")
-    plain = stage.filter("evidence and size(content) = 0").select("id")
-    few = F.forall("content", lambda x: F.size(F.split(x, " ")) <= MAX_FURNITURE_WORDS)
-    doubtful = stage.filter("evidence and size(content) > 0").filter(few).withColumn("row", F.monotonically_increasing_id())
-    doubtful = scratch.write(doubtful.select("id", "host", "row", F.explode(F.array_distinct("content")).alias("line")), "doubtful")
-    wanted = doubtful.select("host", "line").distinct()
-    counts = stage.select("host", F.explode("short").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    totals = stage.groupBy("host").agg(F.count("*").alias("docs"))
-    furniture = counts.join(wanted, ["host", "line"], "left_semi").join(totals, "host").filter(F.col("n") >= min_share * F.col("docs")).select("host", "line", F.lit(True).alias("known"))
-    kept = doubtful.join(furniture, ["host", "line"], "left").groupBy("row").agg(F.first("id").alias("id"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_known"))
-    return plain.unionByName(kept.filter("all_known").select("id")).withColumnRenamed("id", id_col)
+    counts = rows.mapInArrow(line_keys, "host string, line bigint").groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    totals = rows.groupBy("host").agg(F.count("*").alias("docs"))
+    furniture = scratch.write(counts.join(totals, "host").filter(F.col("n") >= min_share * F.col("docs")).select("line").distinct(), "furniture")
+    if furniture.count() <= MAX_SENT:
+        known = frozenset(furniture.toArrow().column("line").to_pylist())
+        return rows.mapInArrow(judged(known), f"id {kind}, content array<bigint>").select(F.col("id").alias(id_col))
+    doubtful = scratch.write(rows.mapInArrow(judged(None), f"id {kind}, content array<bigint>").withColumn("row", F.monotonically_increasing_id()), "doubtful")
+    unknown = doubtful.select("row", F.explode("content").alias("line")).join(furniture, "line", "left_anti").select("row")
+    return doubtful.join(unknown, "row", "left_anti").select(F.col("id").alias(id_col))
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:

@@ -113,6 +113,17 @@ def test_furniture_by_host(spark):
     assert [r[0] for r in residue.residue(df, "doc_id", "text", "source").collect()] == [100]
 
 
+@pytest.mark.parametrize("bound", [residue.MAX_SENT, 0])
+def test_many_lines_of_furniture(spark, monkeypatch, bound):
+    """Evidence below more than 13 lines of the host's own, and content below them."""
+    monkeypatch.setattr(residue, "MAX_SENT", bound)
+    own = "\n".join(f"Wiki of the {x}" for x in "mill river bridge tower castle garden forest meadow harbour island valley village market chapel school".split())
+    rows = [(i, f"A long enough text on the matter of {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} stands here.\n{own}", "a") for i in range(40)]
+    rows += [(100, f"{own}\nError 404: not found", "a"), (101, f"Error 404: not found\n{own}\nThe mill grinds wheat for all of the villages on the river since the spring.", "a"), (102, f"{own}\nError 404: not found", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r[0] for r in residue.residue(df, "doc_id", "text", "source").collect()] == [100]
+
+
 def test_subset(spark):
     r = random.Random(4)
     rows = [(i, f"db{i % 5}" if i % 3 else "Hot ", f"SELECT c{r.randrange(6)} FROM t{i % 40} WHERE a = {i}" if i % 3 else f"select x from hot where y = {i}") for i in range(600)]
