@@ -1,6 +1,6 @@
 """Template residue, filler, error pages and script notices.
 
-A text is cut into sentences. Short normalised lines are counted by host over all documents; lines that recur on a host
+A text is cut into sentences. Normalised lines of any length are counted by host over all documents; lines that recur on a host
 are its furniture (navigation, footers) and are subtracted, as are shapes of furniture any host may have. What
 remains is evidence or content: unfilled placeholders in few words of their own, filler, messages of error and access
 pages, notices that scripts are needed. A document is residue if it has evidence and no content. Quoted or discussed
@@ -119,7 +119,6 @@ WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 TAG = re.compile(r"</?(?:eos|bos|pad|unk|sep|cls|mask|s|br|p|b|i|u|em|strong|div|span|li|ul|ol|td|tr|table|code|pre|hr|h[1-6]) ?/?>", re.I)
 TRACE_ID = re.compile(r"\W*(?=[0-9a-f-]*\d)[0-9a-f-]{4,40}\W*")
 MARK = "\ue000"
-MAX_FURNITURE_WORDS = 8
 #: At most so many keys of furniture lines are sent to tasks.
 MAX_SENT = 500_000
 
@@ -207,8 +206,8 @@ def judge(text: str, host: str = "", known: frozenset | None = None) -> tuple[bo
 
 
 def counted(text: str) -> set[str]:
-    """Distinct normalised lines of few words."""
-    return {normal(x) for x in lines_of(text) if len(x.split(None, MAX_FURNITURE_WORDS)) <= MAX_FURNITURE_WORDS} - {""}
+    """Distinct normalised lines, as they are judged."""
+    return {normal(cleaned(x).replace(MARK, " ")) for x in lines_of(text)} - {""}
 
 
 def line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

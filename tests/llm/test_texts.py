@@ -124,6 +124,14 @@ def test_many_lines_of_furniture(spark, monkeypatch, bound):
     assert [r[0] for r in residue.residue(df, "doc_id", "text", "source").collect()] == [100]
 
 
+@pytest.mark.parametrize("line", ["This wiki is kept by volunteers and its pages may be copied freely", "Docs &amp; Guides", "The miller’s wiki"])
+def test_furniture_of_any_form(spark, line):
+    rows = [(i, f"A long enough text on the matter of {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} stands here.\n{line}", "a") for i in range(40)]
+    rows += [(100, f"{line}\nError 404: not found", "a"), (101, f"{line}\nError 404: not found", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r[0] for r in residue.residue(df, "doc_id", "text", "source").collect()] == [100]
+
+
 def test_subset(spark):
     r = random.Random(4)
     rows = [(i, f"db{i % 5}" if i % 3 else "Hot ", f"SELECT c{r.randrange(6)} FROM t{i % 40} WHERE a = {i}" if i % 3 else f"select x from hot where y = {i}") for i in range(600)]
