@@ -81,24 +81,21 @@ def windows(only: np.ndarray | None):
     return run
 
 
-def stretch(equal: np.ndarray, lo: int, share: float) -> tuple[int, int]:
-    """(longest run of True, longest stretch around position lo with at most this share of False, ends True)."""
+def stretch(equal: np.ndarray, share: float) -> tuple[int, int]:
+    """(longest run of True, longest stretch with at most this share of False, ends True)."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], equal.view(np.int8), [0]])))
-    runs = edges[1::2] - edges[::2]
-    longest = int(runs.max()) if len(runs) else 0
-    best, a = 0, edges[::2]
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return 0, 0
+    # s to e holds if wrong[e] - share * e <= wrong[s] - share * s: for each e the least s is where the greatest so far reaches it
     wrong = np.concatenate([[0], np.cumsum(~equal)])
-    left = a[a <= lo][-40:]
-    right = edges[1::2][edges[1::2] > lo][:40]
-    for s in left:
-        for e in right:
-            if wrong[e] - wrong[s] <= share * (e - s):
-                best = max(best, int(e - s))
-    return longest, best
+    level = wrong - share * np.arange(len(wrong))
+    at = np.searchsorted(np.maximum.accumulate(level[starts]), level[ends] - 1e-9)
+    return int((ends - starts).max()), int((ends - starts[at]).max())
 
 
 def compare(share: float):
-    """(doc_id, item_id, diagonals with a hit position, both texts) -> (doc_id, item_id, run, overlap)."""
+    """(doc_id, item_id, diagonals with a hit, both texts) -> (doc_id, item_id, run, overlap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a = None, []
@@ -115,12 +112,11 @@ def compare(share: float):
                         known.clear()
                     b = known[other] = words_of(other)
                 most, wide = 0, 0
-                for hit in hits:
-                    d = hit["diagonal"]
+                for d in hits:
                     start = max(0, -d)
                     n = min(len(b), len(a) - d) - start
                     equal = np.fromiter((x == y for x, y in zip(a[start + d : start + d + n], b[start : start + n])), bool, n)
-                    r, o = stretch(equal, hit["pos"] - start, share)
+                    r, o = stretch(equal, share)
                     most, wide = max(most, r), max(wide, o)
                 longest.append(most)
                 overlaps.append(wide)
@@ -148,8 +144,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     hits = found.join(seeds.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash"), "hash")
     if masks_needed > 1:
         hits = hits.groupBy("id", "item_id", "pos", "item_pos").count().filter(F.col("count") >= masks_needed)
-    diagonals = hits.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.min("item_pos").alias("pos"))
-    pairs = scratch.write(diagonals.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("diagonal", "pos")).alias("hits")), "pairs")
+    diagonals = hits.select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
+    pairs = scratch.write(diagonals.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("hits")), "pairs")
     texts = pairs.join(left.select(F.col("id").alias("doc_id"), "text"), "doc_id").join(right.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item_id")
     texts = texts.select("doc_id", "item_id", "hits", "text", "item_text").sortWithinPartitions("doc_id")  # each text is split once
     checked = texts.mapInArrow(compare(share), "doc_id bigint, item_id bigint, run int, overlap int")

@@ -77,6 +77,17 @@ def test_leaks_tolerate_substitutions(spark):
     assert got["run"] == 8 and got["overlap"] >= 30
 
 
+def test_overlap_is_the_longest_of_its_diagonal(spark):
+    """A poor hit comes first; and a passage with more than 40 substitutions on a side."""
+    w = [f"w{k}" for k in range(700)]
+    poor = ["a"] * 3 + w[:3] + ["b"] + w[4:8] + ["c"] + w[9:12] + [f"y{k}" for k in range(9)] + w[21:41]
+    long = [x if k % 8 != 4 else "other" for k, x in enumerate(w)]
+    d = spark.createDataFrame([(1, " ".join(poor)), (2, " ".join(long))], "doc_id long, text string")
+    e = spark.createDataFrame([(7, " ".join(w))], "item_id long, item_text string")
+    got = {r["doc_id"]: (r["run"], r["overlap"]) for r in leaks.find_leaks(d, e).collect()}
+    assert got == {1: (20, 20), 2: (7, 700)}
+
+
 RESIDUE = [
     "{{ title }}\n{{body}}", "Dear [YOUR NAME], thank you for asking about {% table %}.", "Login · Register · Help\nERROR 404: NOT FOUND.", "502 Bad Gateway\n\nnginx-like proxy at edge-36",
     "Lorem ipsum dolor sit amet consectetur. Ut enim ad minim veniam.", "Oh no! Your dashboard took too long to respond.\n47621b85", "Please enable JavaScript to view this page.", "Bitte JavaScript aktivieren, um fortzufahren.",
