@@ -88,6 +88,27 @@ def test_overlap_is_the_longest_of_its_diagonal(spark):
     assert got == {1: (20, 20), 2: (7, 700)}
 
 
+def test_seeds_miss_no_overlap():
+    """Every pattern of substitutions of an overlap of 12 to 27 words, ends equal, at most 15 % substituted."""
+    from itertools import combinations
+
+    for n in range(12, 28):
+        for k in range(int(0.15 * n + 1e-9) + 1):
+            for wrong in combinations(range(1, n - 1), k):
+                assert any(not {p + q for q in mask} & set(wrong) for mask in leaks.SEEDS for p in range(n - mask[-1]))
+
+
+def test_every_sixth_word_substituted(spark):
+    w = [f"w{k}" for k in range(47)]
+    changed = [x if k % 6 != 5 else f"other{k}" for k, x in enumerate(w)]
+    one = [[f"v{j}x{k}" for k in range(12)] for j in range(12)]
+    docs = [(0, " ".join(changed))] + [(j, " ".join(x if k != j else "other" for k, x in enumerate(one[j]))) for j in range(1, 11)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(0, " ".join(w))] + [(j, " ".join(one[j])) for j in range(1, 11)], "item_id long, item_text string")
+    got = sorted(tuple(r) for r in leaks.find_leaks(d, e).select("doc_id", "item_id", "overlap").collect())
+    assert got == [(0, 0, 47)] + [(j, j, 12) for j in range(1, 11)]
+
+
 RESIDUE = [
     "{{ title }}\n{{body}}", "Dear [YOUR NAME], thank you for asking about {% table %}.", "Login · Register · Help\nERROR 404: NOT FOUND.", "502 Bad Gateway\n\nnginx-like proxy at edge-36",
     "Lorem ipsum dolor sit amet consectetur. Ut enim ad minim veniam.", "Oh no! Your dashboard took too long to respond.\n47621b85", "Please enable JavaScript to view this page.", "Bitte JavaScript aktivieren, um fortzufahren.",
