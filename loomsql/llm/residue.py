@@ -1,13 +1,18 @@
 """Template residue, filler, error pages and script notices.
 
-A text is cut into sentences. Normalised lines of any length are counted by host over all documents; lines that recur on a host
-are its furniture (navigation, footers) and are subtracted, as are shapes of furniture any host may have. What
-remains is evidence or content: unfilled placeholders in few words of their own, filler, messages of error and access
-pages, notices that scripts are needed. A document is residue if it has evidence and no content. Quoted or discussed
-messages leave the words around them as content.
-
-Defined results: null, empty and blank texts are no cases; a null host counts as one host; every input row is judged by
-itself; an empty table gives no rows.
+Normalised lines of any length are counted by host, over distinct texts, in all documents. A line that recurs on a host,
+or on several hosts, is boilerplate (navigation, footers) and is subtracted. The lines that remain are judged sentence by sentence:
+
+* evidence: unfilled slots among few words of their own; filler; sentences that say in words of notices that something
+  failed, is gone or closed, or that scripts must be on. A sentence is judged by what share of its words belongs to such
+  notices (``CLASSES``, ``PLAIN``), not by whole phrases; a thing may have any name ("the plan viewer").
+* nothing: no words, or words any notice has ("return to the start page");
+* content: all else, so quoted or discussed messages leave the words around them as content.
+
+A document is residue if it has evidence and no content.
+
+Defined results: null, empty and blank texts are no cases; a null host counts as one host; copies of a text count once
+for its lines; every input row is judged by itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +21,9 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
+from http import HTTPStatus
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,119 +45,136 @@ LATIN = frozenset(
     "laborum lorem magna minim mollit nisi non nostrud nulla occaecat officia pariatur proident qui quis reprehenderit sed sint "
     "sit sunt tempor ullamco ut velit veniam voluptate".split()
 )
-FILLER = re.compile(
-    r"(?:blind ?text|sample (?:text|content)|dummy (?:text|content)|(?:placeholder|dummy|sample|filler)(?: (?:copy|text|content))?|beispiel ?text|platzhalter(?:text)?|test(?: test)+|foo bar(?: baz)?|asdf\w*|xxx+|(?:bla[bh]?|blah)(?:\W+bla[bh]?)*|etc|tbd|todo|tba|n/?a"
-    r"|(?:content|text|more|details|description) (?:is )?(?:coming soon|goes here|to be (?:added|written|announced|determined|defined))|coming soon|under construction"
-    r"|your (?:title|text|content|name|heading|message|logo|headline|description)\b.{0,20}\bhere|(?:insert|add|enter|type|write|put) (?:your |a |the |some )?(?:\w+ ){0,4}here|add a short description.{0,40}"
-    r"|replace this (?:paragraph|text|sentence|line).{0,40}|click to (?:edit|add).{0,30}|edit this (?:text|section).{0,20}|(?:image|figure|photo) caption|section (?:heading|title)|body copy.{0,30}|heading \d*|lorem"
-    r"|hier (?:steht|kommt).{0,20}text|text folgt|ins[ée]rez votre texte ici|votre (?:texte|titre) ici|texte (?:à venir|de remplissage|d'exemple)|contenu à venir|aqu[ií] va (?:el|su) \w+|texto (?:de relleno|de ejemplo|aqu[ií])|pr[óo]ximamente|bientôt disponible|inhalt folgt)",
-)
-SCRIPT = r"(?:java ?scripts?|js|ecmascript|(?:active |client-side )?script(?:s|ing)?(?: support)?|noscript)"
-#: A word for scripts; letters of writing without spaces may touch it.
-CJK = r"\u3005-\u30ff\u3400-\u9fff\uac00-\ud7af"
-SCRIPT_WORD = re.compile(rf"(?<![^\W{CJK}])(?<!\.){SCRIPT}(?![^\W{CJK}])")
-SWITCH = r"(?:enabl\w+|activat\w+|allow\w*|permit\w*|turn(?:ed)? on|turn on|switch(?:ed)? on|unblock\w*|switch\w* off|turned off|disabled|deactivated|blocked|off|requires?|required|needs?|needed|without|support\w*|must be|only)"
-SCRIPT_NOTICE = re.compile(
-    r"(?:"
-    rf"(?:please |kindly )?(?:you (?:need|have|must) to |you must )?(?:enable|activate|allow|permit|unblock|turn on|switch on) (?:the )?{SCRIPT}\b.{{0,90}}"
-    rf"|.{{0,60}}\b(?:needs?|requires?) {SCRIPT}(?: (?:to|in order)\b.{{0,60}}|\W*)"
-    rf"|sorry, .{{0,70}}\b(?:until|unless|without)\b.{{0,40}}{SCRIPT}.{{0,30}}"
-    rf"|.{{0,70}}\b(?:will|can|does|do)(?: not|n't|not) (?:\w+ ){{0,4}}(?:until|unless|without)\b.{{0,40}}{SCRIPT}.{{0,30}}"
-    rf"|it (?:looks|seems|appears)\b.{{0,20}}{SCRIPT} (?:is|are) (?:disabled|off|blocked|turned off|switched off|deactivated).{{0,60}}"
-    rf"|{SCRIPT} (?:is|are|has been|have been)?\s*(?:disabled|off|blocked|turned off|switched off|required|needed|deactivated|not (?:enabled|available|supported)).{{0,90}}"
-    rf"|your browser (?:does not|doesn't|has) .{{0,40}}{SCRIPT}.{{0,90}}"
-    rf"|.{{0,60}}\b(?:single-page application|app|page|site)\b.{{0,40}}cannot \w+ .{{0,30}}without {SCRIPT}.{{0,20}}"
-    rf"|.{{0,60}}\bcannot \w+ .{{0,30}}without {SCRIPT}.{{0,20}}"
-    rf"|noscript\W+.{{0,80}}|.{{0,60}}\bworks? with {SCRIPT} only"
-    rf"|loading .{{0,50}}|if nothing happens, .{{0,40}}{SCRIPT}.{{0,30}}"
-    rf"|turn off your (?:ad ?)?blocker.{{0,90}}"
-    rf"|checking your browser.{{0,80}}|{SCRIPT} and cookies must be .{{0,30}}"
-    rf"|ohne {SCRIPT} .{{0,70}}|bitte (?:\w+ )?{SCRIPT} .{{0,50}}|sie haben {SCRIPT} (?:deaktiviert|blockiert|ausgeschaltet).{{0,40}}|{SCRIPT} (?:ist|sind) (?:deaktiviert|erforderlich|ausgeschaltet).{{0,40}}|einschalten und neu laden"
-    rf"|{SCRIPT} doit (?:être|etre) activé.{{0,50}}|(?:cette|ce) .{{0,30}}(?:requiert|nécessite) {SCRIPT}.{{0,30}}|(?:veuillez )?(?:activez|activer) {SCRIPT}.{{0,50}}"
-    rf"|(?:active|habilite|por favor,? active) {SCRIPT} .{{0,50}}|est[ae] .{{0,30}}(?:requiere|necesita) {SCRIPT}.{{0,40}}|para continuar,? .{{0,20}}{SCRIPT}.{{0,20}}"
-    rf"|.{{0,20}}включите {SCRIPT}.{{0,60}}|.{{0,40}}(?:требуется|отключен\w*|необходим\w*) {SCRIPT}.{{0,40}}|{SCRIPT} (?:отключ\w+|требуется|необходим).{{0,40}}"
-    rf"|.{{0,30}}{SCRIPT}\s*を\s*有効.{{0,40}}|.{{0,30}}{SCRIPT}\s*が\s*(?:無効|必要).{{0,40}}|.{{0,20}}(?:启用|啟用|开启|允许|需要)\s*{SCRIPT}.{{0,40}}|.{{0,30}}{SCRIPT}\s*(?:을|를|이|가)\s*.{{0,40}}"
-    rf"|(?:permit|allow|enable|unblock|activate|turn it on|turn on|switch it on|turn on it)(?: it)?(?: in your browser)?(?: first)? and (?:press )?reload.{{0,50}}|(?:and )?reload(?: the page)?"
-    r")\W*"
-)
-#: What a notice without a word for scripts speaks of.
-RELOAD = re.compile(r"loading|blocker|checking|reload|neu laden")
-THING = r"(?:page|document|result ?set|results?|dashboard|schema|plan|query|quer(?:y|ies)|run|file|site|service|resource|content|article|view|report|item|link|server|app|application|request)"
-GONE = (
-    r"(?:does(?: not|n't) exist|(?:has|have) been (?:re)?moved(?: or deleted)?|(?:is|was) (?:no longer here|gone|not found|unavailable|temporarily \w+|blocked.{0,30}|removed|deleted|offline.{0,20}|not available)|(?:could|can)(?: ?not|n't) be (?:found|displayed|shown|opened|loaded|reached)(?: right now)?"
-    r"|failed to load|took too long to respond|requires a (?:login|sign-in)|has expired|may have been \w+.{0,40})"
-)
-TAIL = (
-    r"(?:(?:please )?(?:try|come|check)(?: it)? (?:again|back)(?: later| soon| in .{0,20})?|refresh in .{1,20}|error code\W? ?\w+|return to the (?:start|home) ?page|request id\W? ?[0-9a-f-]+|reference\W? ?[0-9a-f-]+|incident\W? ?[0-9a-f-]+|\(?code \d+\)?|ray id\W? ?[0-9a-f]+"
-    r"|check the (?:address|url|link) and (?:retry|try again)|go back to the (?:start|home) ?page|if the problem persists, .{0,60}|log in again .{0,40}|sign in again.{0,40}|contact (?:the )?(?:administrator|support|webmaster).{0,30}|slow down and retry .{0,30})"
-)
-STATUS = r"(?:not found|bad gateway|gateway time-?out|bad request|forbidden|unavailable|service unavailable|internal(?: server)? error|unauthori[sz]ed|access denied|too many requests|sign-in needed|sign-in required|login required|request time-?out|gone|conflict)"
-ERROR_PAGE = re.compile(
-    r"(?:"
-    rf"(?:http(?:/\d\.\d)? )?(?:error )?[45]\d\d\s*[-:–—|]?\s*(?:{STATUS})?(?:\W+{THING} {GONE})?(?:\W*{TAIL})?"
-    rf"|(?:http )?error\W? [45]?\d*\W*(?:{STATUS})(?:\W*{TAIL})?|(?:error )?{STATUS}\W*\(?(?:[45]\d\d)?\)?(?:\W*{TAIL})?"
-    rf"|(?:oh no|oops|whoops|sorry|uh-oh)(?:\W+(?:your|the|this|that) {THING} {GONE})?|(?:oops\W*)?something went wrong.{{0,40}}|an (?:unexpected )?error (?:has )?occurred.{{0,40}}"
-    rf"|(?:we are sorry|we're sorry|sorry), (?:but )?(?:the|this|your|that) {THING}(?: you (?:requested|asked for|were looking for))? {GONE}(?:\W*{TAIL})?"
-    rf"|(?:\w+, )?(?:the|this|your|that)(?: requested)?(?: {THING})? ?{THING}(?: you (?:requested|asked for|were looking for))? {GONE}(?:\W*{TAIL})?"
-    rf"|(?:the )?{THING} {GONE}(?:\W*{TAIL})?"
-    rf"|we can(?:'t|not| not) find (?:that|this|the|your).{{0,30}}|it may have been .{{0,60}}|or the link is wrong"
-    rf"|access (?:is )?denied.{{0,30}}|you (?:do not|don't) have (?:permission|access).{{0,60}}|permission denied"
-    rf"|too many requests.{{0,80}}|your (?:session|login) has (?:expired|timed out).{{0,60}}|log in again .{{0,40}}"
-    rf"|upstream connect (?:failure|error).{{0,80}}|(?:fatal|warning|error)\W? (?:could not|cannot|uncaught|failed to) (?:connect|load|open).{{0,90}}|connection (?:timed out|refused|reset).{{0,30}}"
-    rf"|(?:this site|the site|we are) (?:is )?(?:down for|under|undergoing) maintenance.{{0,50}}|.{{0,30}}temporarily (?:offline|unavailable|out of service).{{0,30}}"
-    r"|seite nicht gefunden.{0,20}|bitte prüfen sie die adresse|der dienst ist .{0,40}nicht (?:erreichbar|verfügbar).{0,10}|versuchen sie es .{0,40}|zugriff verweigert.{0,50}|fehler \d+.{0,60}|die (?:angeforderte )?seite .{0,60}"
-    r"|erreur \d+.{0,70}|(?:la )?page (?:demandée )?(?:est )?introuvable.{0,30}|accès (?:refusé|interdit).{0,50}|le service est .{0,50}|veuillez réessayer.{0,40}"
-    r"|error \d+\W.{0,20}no se ha encontrado.{0,40}|página no encontrada.{0,30}|sesión (?:caducada|expirada).{0,20}|vuelva a entrar.{0,50}|acceso denegado.{0,50}|inténtelo .{0,40}"
-    r"|ошибка \d+.{0,60}|страница не найдена.{0,40}|доступ (?:запрещ[её]н|закрыт).{0,50}|сервис временно .{0,40}|сессия истекла.{0,40}|попробуйте .{0,40}"
-    r"|.{0,20}(?:ページが見つかりません|アクセスが拒否|アクセスできません|ページは存在しません).{0,30}|.{0,20}(?:页面不存在|找不到页面|未找到页面|访问被拒绝|无法访问|無法存取|服务暂时不可用|页面未找到).{0,30}|.{0,20}(?:페이지를 찾을 수 없|접근이 거부|서비스를 사용할 수 없).{0,30}"
-    r"|(?:[\w-]+ )?(?:proxy|server|gateway|edge|nginx\S*|apache\S*|cloud\w*|varnish)(?: (?:proxy|server|gateway))? (?:at|on|by) [\w.:-]{1,40}|(?:the |this |our )?(?:service|site|server|system) is (?:under|down for|undergoing|in) maintenance.{0,50}|we(?: will|'ll) be (?:right )?back.{0,30}"
-    r"|(?:traceback|trace|error|exception|debug)(?: id)? [0-9a-f-]+\W.{0,80}|template \S+ failed to .{0,30}"
-    rf"|{TAIL}"
-    r")\W*"
-)
-FURNITURE = re.compile(
-    r"(?:skip to (?:main )?content|back to top|menu|search|sign in|log ?in|sign up|register|help|home|about|navigation|≡ ?navigation|privacy(?: policy)?|terms(?: of (?:use|service))?|contact(?: us)?|imprint|impressum|datenschutz|sitemap|cookies?"
-    r"|(?:[\w ]{1,20}\s*[|·•>»/]\s*)+[\w ]{1,20}|(?:©|\(c\)|copyright).{0,60}|all rights reserved|powered by .{0,40}|last (?:build|update|updated|modified).{0,30}|share(?: this)?|follow us|subscribe)\W*"
+
+def _words(text: str) -> re.Pattern:
+    """One of the words; a star stands for any ending."""
+    return re.compile("|".join(w[:-1] + r"\w*" if w[-1] == "*" else w for w in text.split()))
+
+
+#: Words by what they say in a notice (English, German, French, Spanish, Russian).
+CLASSES = {
+    "loss": _words(
+        "error errors fatal exist moved deleted removed unpublished expired denied permission unavailable offline failed fails cannot can't couldn't found displayed "
+        "shown loaded opened reached blocked timed longer gone wrong oops whoops maintenance respond exceeded timeout refused reset forbidden unauthori* "
+        "fehler gefunden erreichbar verfügbar verweigert abgelaufen erreur erreurs introuvable indisponible refusé interdit expirée "
+        "encontrado encontrada caducada expirada denegado disponible ошибк* найден* запрещ* закрыт* недоступ* истек*"
+    ),
+    "script": _words("javascript* ecmascript js script scripts scripting noscript skripte скрипт* сценари*"),
+    "switch": _words(
+        "enabl* activ* allow* permit* turn* switch* unblock* disabled deactivat* blocked need* requir* without support* must only works "
+        "aktivier* deaktivier* erforderlich benötigt einschalten ohne activé* activez désactiv* requiert nécessit* sans requiere necesita habilit* desactiv* sin "
+        "включ* отключ* треб* необходим*"
+    ),
+    "reload": _words("reload checking loading blocker laden recharg* recargu* перезагруз*"),
+    "slot": _words(
+        "title heading headline section body image figure photo caption paragraph text texts copy content contents description descriptions line lines words logo name message details "
+        "placeholder platzhalter* sample dummy filler blind lorem ipsum texte textes contenu remplissage exemple texto contenido relleno ejemplo inhalt beispiel"
+    ),
+    "fill": _words("here goes add added replace edit click insert put enter type write written soon come* coming later announced determined defined max own hier folgt steht kommt später ici insérez venir bientôt aquí va proximamente"),
+    "junk": _words("x{2,} asdf* qwert* bla blah foo bar baz tbd tba todo etc lorem test blindtext* beispieltext* platzhalter*"),
+}
+#: Words any sentence has, and words about pages and what to do about them.
+PLAIN = _words(
+    "a an and as are at be been before but by can could do does did doesn't don't for from has have he how i if in into is isn't it its like long many may more my no not of off oh on once or our please "
+    "so sorry than that the then there these they this those to too until unless up us was we we're we've well when while who will with would you your yours yourself hasn't "
+    "page pages document site website web file link address url region server service proxy gateway edge browser app application view viewer request requests requested asked looking code id ref reference "
+    "incident ray trace traceback template rendered render store session login log sign account administrator admin webmaster contact persist* problem user users client connect* connection failure upstream database host system team "
+    "side start home return go back find try again check retry refresh slow down wait visit see open opening load read use display order continue cookies reason http https seconds second minutes s ss ms h min bad short whole all built single anything features "
+    "unexpected internal something went happen* occurred temporar* moment* currently shortly right now took under looks seems appears nothing first press run nginx apache varnish cloudflare "
+    "der die das den dem des ein eine einen einer und oder ist sind nicht sie es bitte um zu von mit für auf kann können werden wird haben noch einmal minuten diese dieser dieses ihre vorübergehend "
+    "seite adresse dienst versuchen prüfen fortzufahren angeforderte ansicht angezeigt geladen neu anmelden "
+    "le la les l un une et ou est sont ne pas ce cette ces votre vous veuillez pour de du dans en réf sur à d être doit se demandée réessayer afficher navigateur momentanément "
+    "el los las una y o es son su ha para por favor que del al esta este con navegador página solicitada sesión vuelva entrar ver resultado continuar funcionar inténtelo nuevo "
+    "и не на в по для эта этот это вы пожалуйста сайт страниц* сервис* временно попробуйте позже браузер* сессия"
 )
+#: After these any two words may name a thing.
+DETERMINER = _words("the this that your our requested any each all single a an of der die das diese dieser dieses ihre la le les cette ce votre el los las esta este su эта этот")
+REASONS = re.compile(r"\b(?:%s)\b" % "|".join(sorted({re.escape(s.phrase.lower().partition(" (")[0]) for s in HTTPStatus if s >= 400} | {"unavailable", "internal error", "access denied", "permission denied"}, key=len, reverse=True)))
+STATUS = re.compile(r"(?:^|\(|\berror |\bcode |\bhttp |\bstatus |\bfehler |\berreur |\bошибка )[45]\d\d\b")
+#: Writing without spaces, and what its notices say.
+WIDE = re.compile(r"[\u3005-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+WIDE_CLASSES = {
+    "loss": re.compile("見つかりません|存在しません|拒否|アクセスできません|不存在|找不到|未找到|拒绝|拒絕|无法|無法|不可用|찾을 ?수|거부|사용할 ?수"),
+    "switch": re.compile("有効|無効|必要|启用|啟用|开启|開啟|允许|允許|需要|禁用|활성|필요|사용|허용"),
+    "script": re.compile("java ?script|js|スクリプト|脚本|스크립트"),
+}
 SEPARATOR = re.compile(r"\s+[|·•]\s+")
 SENTENCE = re.compile(r"(?<=[.!?。！？…])\s+|(?<=[。！？])")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: Identifiers of a request, and names of files, columns and machines.
+TRACE_ID = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f-]{4,40}\b")
+NAMED = re.compile(r"\b[a-z0-9_-]+(?:[./_][a-z0-9_-]+)+\b|\b[a-z0-9-]*[a-z-]\d[a-z0-9-]*\b")
 #: Tokens and tags that look like slots but mark up text.
 TAG = re.compile(r"</?(?:eos|bos|pad|unk|sep|cls|mask|s|br|p|b|i|u|em|strong|div|span|li|ul|ol|td|tr|table|code|pre|hr|h[1-6]) ?/?>", re.I)
-TRACE_ID = re.compile(r"\W*(?=[0-9a-f-]*\d)[0-9a-f-]{4,40}\W*")
+TIME = re.compile(r"\d{4}-\d\d(?:-\d\d)?|\d\d:\d\d(?::\d\d)?")
 MARK = "\ue000"
-#: At most so many keys of furniture lines are sent to tasks.
+#: Stands for every host in the keys of lines that recur on several.
+ANYWHERE = "\x00"
+#: At most so many keys of boilerplate are sent to tasks.
 MAX_SENT = 500_000
 
 
 def normal(line: str) -> str:
-    """A line for counting: case folded, numbers alike, white space single."""
-    return re.sub(r"\d+", "0", re.sub(r"\s+", " ", line)).strip().lower()
+    """A cleaned line for counting: without slots, white space single, dates alike. Other numbers count."""
+    return TIME.sub("0", re.sub(r"\s+", " ", line.replace(MARK, " "))).strip()
+
+
+@lru_cache(1 << 16)
+def classes(word: str) -> tuple[frozenset, bool, bool]:
+    """(classes of a word, whether it belongs to any sentence, whether it announces a thing)."""
+    return frozenset(k for k, p in CLASSES.items() if p.fullmatch(word)), bool(PLAIN.fullmatch(word)), bool(DETERMINER.fullmatch(word))
 
 
 def judge_sentence(s: str) -> str:
-    """'evidence', 'furniture', 'nothing' (no words) or 'content' of one sentence with slots marked."""
+    """'evidence', 'nothing' or 'content' of one sentence in small letters with slots marked."""
     slots = s.count(MARK)
     words = WORD.findall(s.replace(MARK, " "))
     if slots:
         return "evidence" if len(words) <= 3 * slots + 2 else "content"
     if not words:
         return "nothing"
-    if TRACE_ID.fullmatch(s.strip()):
-        return "nothing"
-    bare = s.strip(" \t#*>-–—=_~•·|\"'`").strip()
     if len(words) >= 2 and sum(w in LATIN for w in words) >= 0.8 * len(words) or words == ["lorem"]:
         return "evidence"
-    parts = [p.strip(" .!") for p in re.split(r"[,;/]\s*", bare) if p.strip(" .!")]
-    if FILLER.fullmatch(bare.rstrip(" .!…:")) or parts and all(FILLER.fullmatch(p) for p in parts):
+    bare = TRACE_ID.sub(" ", s)
+    names = max(0, len(NAMED.findall(bare)) - 1)
+    words = WORD.findall(REASONS.sub(" ", NAMED.sub(" ", bare)))
+    reason, status = REASONS.search(s), STATUS.search(s)
+    if not words and not names:
+        return "evidence" if reason else "nothing"
+    said: set[str] = set()
+    wide = False
+    unknown = strange = names  # words that name no thing; words that are no notice's
+    thing = 2 if status and status.start() < 6 else 0
+    for w in words:
+        if WIDE.search(w):
+            here = [k for k, p in WIDE_CLASSES.items() if p.search(w)]
+            said.update(here)
+            wide = True
+            unknown += not here or len(w) > 30
+            continue
+        of, plain, announces = classes(w)
+        said |= of
+        strange += not (of or plain or announces)
+        if announces:
+            thing = 2
+        elif of or plain:
+            thing = 0
+        elif thing:
+            thing -= 1
+        else:
+            unknown += 1
+    different = len(set(words))
+    if "login" in words and "switch" in said:
+        said.add("loss")
+    if "junk" in said and all(classes(w)[0] & {"junk", "slot"} for w in words):
+        return "evidence"
+    if unknown > different // 8 or strange > max(2, different // 3):
+        return "content"
+    if reason or "loss" in said or status and different <= 12 or "script" in said and "switch" in said or "reload" in said and ("switch" in said or different <= 12):
         return "evidence"
-    if len(bare) <= 220:
-        if FURNITURE.fullmatch(bare):
-            return "furniture"
-        named = SCRIPT_WORD.search(bare)
-        if (named or RELOAD.search(bare)) and SCRIPT_NOTICE.fullmatch(bare) or ERROR_PAGE.fullmatch(bare):
-            return "evidence"
-    return "content"
+    if "slot" in said and different <= 12 and not NAMED.search(bare) and ("fill" in said and strange <= different // 5 or different <= 4 and not strange and s[-1] != ","):
+        return "evidence"
+    return "nothing" if not unknown and not wide and different <= 16 and (not strange or "switch" in said) else "content"
 
 
 def cleaned(line: str) -> str:
@@ -170,91 +194,105 @@ def lines_of(text: str) -> list[str]:
     return [x for x in re.split("[\\r\\n\\v\\f\\x85\\u2028\\u2029]+", text) if x]
 
 
+def _hash(text: str) -> int:
+    """A signed 64-bit hash."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def line_key(host: str, line: str) -> int:
-    """A signed 64-bit hash of a host and a line."""
-    return int.from_bytes(blake2b(f"{host}\n{line}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return _hash(f"{host}\n{line}")
 
 
-def judge(text: str, host: str = "", known: frozenset | None = None) -> tuple[bool, list[int]]:
-    """(whether there is evidence, keys of the lines that hold content).
+def judge(text: str, host: str = "", known: frozenset | None = None) -> tuple[bool, list[tuple[int, int]]]:
+    """(whether there is evidence, keys of the lines that hold content: with their host, and for any host).
 
-    With ``known``, the keys of the hosts' furniture, such lines are passed over and the first other line of content ends
-    it: the text has content, whatever follows.
+    With ``known``, the keys of boilerplate, such lines are passed over and the first other line of content ends it: the
+    text has content, whatever follows.
     """
     evidence, content = False, []
     for raw in lines_of(text):
         line = cleaned(raw)
         if not line:
             continue
-        kind = judge_sentence(line)
-        if kind == "content":
-            left = False
-            for part in SEPARATOR.split(line):
-                for s in SENTENCE.split(part):
-                    k = judge_sentence(s)
-                    evidence |= k == "evidence"
-                    left |= k == "content"
-            if left:
-                key = line_key(host, normal(line.replace(MARK, " ")))
-                if known is None or key not in known:
-                    content.append(key)
-                    if known is not None:
-                        return evidence, content
+        kinds = set()
+        for part in SEPARATOR.split(line):
+            for s in SENTENCE.split(part):
+                kinds.add(judge_sentence(s) if s else "nothing")
+            if "content" in kinds:
+                break
+        if "content" in kinds:
+            form = normal(line)
+            keys = line_key(host, form), line_key(ANYWHERE, form)
+            if known is None or keys[0] not in known and keys[1] not in known:
+                content.append(keys)
+                if known is not None:
+                    return evidence, content
         else:
-            evidence |= kind == "evidence"
+            evidence |= "evidence" in kinds
     return evidence, content
 
 
 def counted(text: str) -> set[str]:
     """Distinct normalised lines, as they are judged."""
-    return {normal(cleaned(x).replace(MARK, " ")) for x in lines_of(text)} - {""}
+    return {normal(cleaned(x)) for x in lines_of(text)} - {""}
 
 
 def line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, host, text) -> (host, line): keys of the lines of each text."""
+    """(id, host, text) -> (near, far, text): keys of the lines of each text with its host and for any host, hash of all of them."""
     for batch in batches:
-        hosts, lines = [], []
+        near, far, of = [], [], []
         for host, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            keys = {line_key(host, x) for x in counted(text)}
-            hosts += [host] * len(keys)
-            lines += keys
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(lines, pa.int64())], names=["host", "line"])
+            lines = counted(text)
+            near += [line_key(host, x) for x in lines]
+            far += [line_key(ANYWHERE, x) for x in lines]
+            of += [_hash("\n".join(sorted(lines)))] * len(lines)
+        yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64()), pa.array(far, pa.int64()), pa.array(of, pa.int64())], names=["near", "far", "text"])
 
 
 def judged(known: frozenset | None):
     """(id, host, text) -> (id, content) where there is evidence; with ``known`` only where no content is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("near", pa.int64()), ("far", pa.int64())]))
         for batch in batches:
             keep, content = [], []
             for k, (host, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 e, c = judge(text, host, known)
                 if e and (known is None or not c):
                     keep.append(k)
-                    content.append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(content, pa.list_(pa.int64()))], names=["id", "content"])
+                    content.append([{"near": a, "far": b} for a, b in c])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(content, kind)], names=["id", "content"])
 
     return run
 
 
-def residue(df: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int = 10, min_share: float = 0.01) -> DataFrame:
+def boilerplate(rows: DataFrame, min_texts: int, min_hosts: int) -> DataFrame:
+    """(key) of every line that at least ``min_texts`` texts of a host hold, or texts of at least ``min_hosts`` hosts."""
+    lines = rows.mapInArrow(line_keys, "near bigint, far bigint, text bigint").groupBy("far", "text").agg(F.min("near").alias("near"))  # copies count for one host
+    by_host = lines.groupBy("far", "near").agg(F.count("*").alias("n"))
+    here = F.when(F.col("n") >= min_texts, F.col("near"))
+    far = by_host.groupBy("far").agg(F.count("*").alias("hosts"), F.collect_set(here).alias("keys"))  # a key for each host of one line
+    many = F.when(F.col("hosts") >= min_hosts, F.array("far")).otherwise(F.col("keys"))
+    return far.filter((F.col("hosts") >= min_hosts) | (F.size("keys") > 0)).select(F.explode(many).alias("key"))
+
+
+def residue(df: DataFrame, id_col: str, text_col: str, host_col: str, min_texts: int = 5, min_hosts: int = 5) -> DataFrame:
     """(id) of every document without content of its own.
 
-    A line is a host's furniture if at least ``min_docs`` of its documents and a share of ``min_share`` of them have it.
-    At most ``MAX_SENT`` keys of furniture are sent to the tasks, which then read a text only up to its first content;
+    At most ``MAX_SENT`` keys of boilerplate are sent to the tasks, which then read a text only up to its first content;
     beyond that all lines are judged and their keys joined.
     """
     scratch = Scratch(df.sparkSession, "residue")
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.col(text_col).alias("text")).filter(r"text rlike '(?U)\\S'")
     kind = rows.schema["id"].dataType.simpleString()
-    counts = rows.mapInArrow(line_keys, "host string, line bigint").groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    totals = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    furniture = scratch.write(counts.join(totals, "host").filter(F.col("n") >= min_share * F.col("docs")).select("line").distinct(), "furniture")
-    if furniture.count() <= MAX_SENT:
-        known = frozenset(furniture.toArrow().column("line").to_pylist())
-        return rows.mapInArrow(judged(known), f"id {kind}, content array<bigint>").select(F.col("id").alias(id_col))
-    doubtful = scratch.write(rows.mapInArrow(judged(None), f"id {kind}, content array<bigint>").withColumn("row", F.monotonically_increasing_id()), "doubtful")
-    unknown = doubtful.select("row", F.explode("content").alias("line")).join(furniture, "line", "left_anti").select("row")
+    shape = f"id {kind}, content array<struct<near: bigint, far: bigint>>"
+    known = scratch.write(boilerplate(rows, min_texts, min_hosts), "boilerplate")
+    if known.count() <= MAX_SENT:
+        sent = frozenset(known.toArrow().column("key").to_pylist())
+        return rows.mapInArrow(judged(sent), shape).select(F.col("id").alias(id_col))
+    doubtful = scratch.write(rows.mapInArrow(judged(None), shape).withColumn("row", F.monotonically_increasing_id()), "doubtful")
+    lines = doubtful.select("row", F.explode("content").alias("c")).select("row", "c.near", "c.far")
+    unknown = lines.join(known.select(F.col("key").alias("near")), "near", "left_anti").join(known.select(F.col("key").alias("far")), "far", "left_anti").select("row")
     return doubtful.join(unknown, "row", "left_anti").select(F.col("id").alias(id_col))
 
 

@@ -124,7 +124,9 @@ CONTENT = [
 
 def test_residue(spark):
     rows = [(i, t) for i, t in enumerate(RESIDUE)] + [(100 + i, t) for i, t in enumerate(CONTENT)] + [(200, None), (201, ""), (202, " \n\t"), (203, "y" * 200_000), (204, "{{ a }} " * 20_000)]
-    df = spark.createDataFrame([(i, t, "h" if i % 2 else None, "clash") for i, t in rows], "doc_id long, text string, source string, id string")
+    # what is furniture is known by counts only, so pages of other hosts show it
+    pages = [(300 + i, f"Login · Register · Help\nThe {w} of the mill grinds wheat in the valley.\n© Example Project", f"host{i}", "clash") for i, w in enumerate("wheel stone miller owner bridge river".split())]
+    df = spark.createDataFrame([(i, t, "h" if i % 2 else None, "clash") for i, t in rows] + pages, "doc_id long, text string, source string, id string")
     got = {r[0] for r in residue.residue(df, "doc_id", "text", "source").collect()}
     assert got == set(range(len(RESIDUE))) | {204}
     assert residue.residue(df.limit(0), "doc_id", "text", "source").count() == 0
@@ -145,6 +147,26 @@ def test_furniture_by_host(spark):
     assert [r[0] for r in residue.residue(df, "doc_id", "text", "source").collect()] == [100]
 
 
+def test_counts_decide(spark, monkeypatch):
+    """Copies of a page don't make its lines furniture; without the counts most cases are lost."""
+    pages = [(i, f"Mill news and views\nThe {w} of the mill grinds wheat in the valley.", f"host{i}") for i, w in enumerate("wheel stone miller owner bridge river".split())]
+    cases = [(100 + i, f"Mill news and views\n{t}", "elsewhere") for i, t in enumerate(RESIDUE) if "\n" not in t]
+    copies = [(200 + i, "Please enable JavaScript.\nThe harvest of the year was poor in all valleys.", f"host{i}") for i in range(9)]
+    df = spark.createDataFrame(pages + cases + copies, "doc_id long, text string, source string")
+    assert {r[0] for r in residue.residue(df, "doc_id", "text", "source").collect()} == {x[0] for x in cases}
+    assert residue.residue(df, "doc_id", "text", "source", 10**6, 10**6).count() == 0
+
+
+@pytest.mark.parametrize("sentence", ["The vendor portal you asked for has been moved, please try again later.", "Your ticket list could not be loaded.", "503 service unavailable", "This shop needs JavaScript."])
+def test_evidence_is_no_list_of_phrases(sentence):
+    assert residue.judge_sentence(residue.cleaned(sentence)) == "evidence"
+
+
+@pytest.mark.parametrize("sentence", ["The committee could not agree on a budget for the coming year.", "Row 402 of partsupp has no year, so the sum ignores it.", "Title text, name text, fee real,", "The error of the estimate shrinks with the square root of the sample."])
+def test_words_of_notices_alone_are_no_evidence(sentence):
+    assert residue.judge_sentence(residue.cleaned(sentence)) == "content"
+
+
 @pytest.mark.parametrize("bound", [residue.MAX_SENT, 0])
 def test_many_lines_of_furniture(spark, monkeypatch, bound):
     """Evidence below more than 13 lines of the host's own, and content below them."""
