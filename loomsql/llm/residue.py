@@ -89,7 +89,9 @@ PLAIN = _words(
 )
 #: After these any two words may name a thing.
 DETERMINER = _words("the this that your our requested any each all single a an of der die das diese dieser dieses ihre la le les cette ce votre el los las esta este su эта этот")
-REASONS = re.compile(r"\b(?:%s)\b" % "|".join(sorted({re.escape(s.phrase.lower().partition(" (")[0]) for s in HTTPStatus if s >= 400} | {"unavailable", "internal error", "access denied", "permission denied"}, key=len, reverse=True)))
+PHRASES = {s.phrase.lower().partition(" (")[0] for s in HTTPStatus if s >= 400} | {"unavailable", "internal error", "access denied", "permission denied"}
+REASONS = re.compile(r"\b(?:%s)\b" % "|".join(sorted(map(re.escape, PHRASES), key=len, reverse=True)))
+REASON_WORDS = frozenset(w for p in PHRASES for w in re.findall(r"[a-z']+", p))
 STATUS = re.compile(r"(?:^|\(|\berror |\bcode |\bhttp |\bstatus |\bfehler |\berreur |\bошибка )[45]\d\d\b")
 #: Writing without spaces, and what its notices say.
 WIDE = re.compile(r"[\u3005-\u30ff\u3400-\u9fff\uac00-\ud7af]")
@@ -107,6 +109,7 @@ NAMED = re.compile(r"\b[a-z0-9_-]+(?:[./_][a-z0-9_-]+)+\b|\b[a-z0-9-]*[a-z-]\d[a
 #: Tokens and tags that look like slots but mark up text.
 TAG = re.compile(r"</?(?:eos|bos|pad|unk|sep|cls|mask|s|br|p|b|i|u|em|strong|div|span|li|ul|ol|td|tr|table|code|pre|hr|h[1-6]) ?/?>", re.I)
 TIME = re.compile(r"\d{4}-\d\d(?:-\d\d)?|\d\d:\d\d(?::\d\d)?")
+DIGIT = re.compile(r"\d")
 MARK = "\ue000"
 #: Stands for every host in the keys of lines that recur on several.
 ANYWHERE = "\x00"
@@ -122,7 +125,7 @@ def normal(line: str) -> str:
 @lru_cache(1 << 16)
 def classes(word: str) -> tuple[frozenset, bool, bool]:
     """(classes of a word, whether it belongs to any sentence, whether it announces a thing)."""
-    return frozenset(k for k, p in CLASSES.items() if p.fullmatch(word)), bool(PLAIN.fullmatch(word)), bool(DETERMINER.fullmatch(word))
+    return frozenset(k for k, p in CLASSES.items() if p.fullmatch(word)), bool(PLAIN.fullmatch(word)) or word in REASON_WORDS, bool(DETERMINER.fullmatch(word))
 
 
 def judge_sentence(s: str) -> str:
@@ -135,16 +138,20 @@ def judge_sentence(s: str) -> str:
         return "nothing"
     if len(words) >= 2 and sum(w in LATIN for w in words) >= 0.8 * len(words) or words == ["lorem"]:
         return "evidence"
-    bare = TRACE_ID.sub(" ", s)
-    names = max(0, len(NAMED.findall(bare)) - 1)
-    words = WORD.findall(REASONS.sub(" ", NAMED.sub(" ", bare)))
-    reason, status = REASONS.search(s), STATUS.search(s)
+    bare = TRACE_ID.sub(" ", s) if DIGIT.search(s) else s
+    named = len(NAMED.findall(bare))
+    names = max(0, named - 1)  # words of names don't count, but for all names after the first
+    if bare is not s or named:
+        words = WORD.findall(NAMED.sub(" ", bare))
     if not words and not names:
-        return "evidence" if reason else "nothing"
+        return "nothing"
+    different = len(set(words))
+    status = STATUS.match(s)
     said: set[str] = set()
     wide = False
     unknown = strange = names  # words that name no thing; words that are no notice's
-    thing = 2 if status and status.start() < 6 else 0
+    thing = 2 if status else 0
+    most, most_strange = different // 8, max(2, different // 3)
     for w in words:
         if WIDE.search(w):
             here = [k for k, p in WIDE_CLASSES.items() if p.search(w)]
@@ -163,16 +170,15 @@ def judge_sentence(s: str) -> str:
             thing -= 1
         else:
             unknown += 1
-    different = len(set(words))
+        if unknown > most or strange > most_strange:
+            return "content"
     if "login" in words and "switch" in said:
         said.add("loss")
     if "junk" in said and all(classes(w)[0] & {"junk", "slot"} for w in words):
         return "evidence"
-    if unknown > different // 8 or strange > max(2, different // 3):
-        return "content"
-    if reason or "loss" in said or status and different <= 12 or "script" in said and "switch" in said or "reload" in said and ("switch" in said or different <= 12):
+    if "loss" in said or REASONS.search(s) or different <= 12 and STATUS.search(s) or "script" in said and "switch" in said or "reload" in said and ("switch" in said or different <= 12):
         return "evidence"
-    if "slot" in said and different <= 12 and not NAMED.search(bare) and ("fill" in said and strange <= different // 5 or different <= 4 and not strange and s[-1] != ","):
+    if "slot" in said and different <= 12 and not named and ("fill" in said and strange <= different // 5 or different <= 4 and not strange and s[-1] != ","):
         return "evidence"
     return "nothing" if not unknown and not wide and different <= 16 and (not strange or "switch" in said) else "content"
 
