@@ -10,10 +10,15 @@ verified on the words themselves; verified links chain by :mod:`loomsql.llm.cont
 With the defaults a pair at the threshold 0.6 shares no band with probability (1 - 0.6^4)^60 = 2.4e-4, far less above it.
 
 Hot buckets: in a bucket of at most ``WINDOW + 1`` texts all pairs are compared; in a larger one each text first meets the
-least id and its ``WINDOW`` predecessors, and the links found are contracted. Pairs inside one component need no more. The
-texts of larger buckets that hold several components are then joined exactly (:func:`across`): a pair at the threshold
-shares one of the first n - ceil(threshold * n) + 1 shingles of both texts in any common order (rarest first here), so
-every pair of different components among them is found with certainty, or ruled out by its sizes and positions.
+least id and its ``WINDOW`` predecessors, and the links found are contracted. A bucket that a batch fills with more than
+``CROWD`` texts is split there: the batch's texts make a bucket of their own and only their least id goes on to meet the rest,
+so no task gets more than a row a batch of a bucket that holds a third of all texts. Pairs inside one component need no more.
+Large buckets and parts of split ones that share texts make one group (contraction again); the texts of groups that hold several
+components are then joined exactly (:func:`across`): a pair at the threshold shares one of the first n - ceil(threshold * n) + 1
+shingles of both texts in any common order (rarest first here), so every pair of different components among them is found with
+certainty, or ruled out by its sizes and positions.
+
+Hot classes of equal texts are merged within each batch before the shuffle, and by an aggregation with a map-side part.
 
 Defined results: null texts and texts of fewer than ``min_words`` words have no group; equal word sequences are linked;
 texts linked to nothing yield no row; an empty table yields no rows; further columns are ignored.
@@ -27,7 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
@@ -36,6 +41,8 @@ from .statements import mix, sliced
 
 WORDS = re.compile(r"\w+")
 WINDOW = 32
+#: A batch with more texts than this in one bucket makes a bucket of them.
+CROWD = 64
 SLOTS = 1 << 18
 KEEP_BYTES = 16 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -55,14 +62,14 @@ def merge_equal(min_words: int):
             return pa.RecordBatch.from_arrays([pa.array(["r"] * n), pa.array([r[0] for r in rows], pa.int64()), pa.nulls(n, pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.string())], schema=_STAGE)
 
         for batch in batches:
-            now, reps, copies = [], [], []
+            now, reps, copies = {}, [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = WORDS.findall(text.lower())
                 if len(words) < min_words:
                     continue
                 joined = " ".join(words)
                 key = blake2b(joined.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                have = kept.get(key)
+                have = kept.get(key) or now.get(key)
                 if have is not None:
                     reps.append(have[0])
                     copies.append(i)
@@ -71,9 +78,9 @@ def merge_equal(min_words: int):
                     kept[key] = [i, i, key, joined]
                     size += len(joined) + 250
                 else:
-                    now.append([i, i, key, joined])
+                    now[key] = [i, i, key, joined]
             if now:
-                yield flush(now)
+                yield flush(list(now.values()))
             if copies:
                 n = len(copies)
                 yield pa.RecordBatch.from_arrays([pa.array(["e"] * n), pa.array(reps, pa.int64()), pa.array(copies, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.string())], schema=_STAGE)
@@ -152,7 +159,7 @@ def shingles(words: str, size: int) -> set:
 
 
 def bucket_rows(size: int, bands: int, rows: int):
-    """(id, words) -> (key, id) for each band."""
+    """(id, words) -> (key, id, split) for each band; ``split``: the id stands for a crowd that has a bucket of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -160,13 +167,30 @@ def bucket_rows(size: int, bands: int, rows: int):
             texts = batch.column(1).to_pylist()
             row, h = shingle_hashes(texts, size)
             keys = band_keys(sketches(row, h, len(ids), bands * rows), rows)
-            key, who = keys.ravel().view(np.int64), np.repeat(ids, bands)
+            key, who = parted(keys.ravel(), np.repeat(ids, bands))
+            split = np.arange(len(key)) >= keys.size
             for k in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(who[k : k + 100_000])], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(who[k : k + 100_000]), pa.array(split[k : k + 100_000])], names=["key", "id", "split"])
 
     return run
 
 
+def parted(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Crowded buckets of one batch get keys of their own; after all rows comes the least id of each under its old key."""
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    crowd = np.flatnonzero(size > CROWD)
+    if not len(crowd):
+        return key.view(np.int64), who
+    key, least = key.copy(), np.array([who[order[start[c] : start[c] + size[c]]].min() for c in crowd], np.int64)
+    for c, first in zip(crowd, least):
+        at = order[start[c] : start[c] + size[c]]
+        key[at] = mix(key[at] + np.array([first], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return np.concatenate([key, sorted_key[start[crowd]]]).view(np.int64), np.concatenate([who, least])
+
+
 def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, id) in order of key and id -> candidate pairs (a, b), a < b."""
     for batch in flagged_pairs(batches):
@@ -174,18 +198,23 @@ def bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def flagged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same with ``far``: a is the least id of a bucket too large for all its pairs. Carries the last bucket's end along."""
-    tail_key, tail, leader = None, np.empty(0, np.int64), 0
+    """The same with ``far``: the pair lies in a bucket too large for all its pairs, or in one that was split.
+
+    Rows come with ``split``, those of one bucket first where it holds. Carries the last bucket's end along.
+    """
+    tail_key, tail, leader, parts = None, np.empty(0, np.int64), 0, False
     for batch in batches:
         key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(key):
             continue
+        split = np.asarray(batch.column(2)) if batch.num_columns > 2 else np.zeros(len(key), bool)
         carried = len(tail) if tail_key is not None and key[0] == tail_key else 0
         if carried:
             key = np.concatenate([np.full(carried, tail_key), key])
             ids = np.concatenate([tail, ids])
+            split = np.concatenate([np.full(carried, parts), split])
         start_of = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key)), 0))
-        first = ids[start_of]
+        first, of_parts = ids[start_of], split[start_of]
         if carried:
             first[start_of == 0] = leader
         found = []
@@ -194,20 +223,18 @@ def flagged_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at = at[at >= carried]
             if not len(at):
                 break
-            found.append((ids[at - d], ids[at]))
+            found.append((ids[at - d], ids[at], of_parts[at]))
         far = np.flatnonzero((first != ids) & (np.arange(len(key)) - start_of > (0 if carried else WINDOW)))
         far = far[far >= carried]
-        found.append((first[far], ids[far]))
-        a = np.concatenate([x for x, _ in found])
-        b = np.concatenate([x for _, x in found])
+        found.append((first[far], ids[far], of_parts[far] | (far - start_of[far] >= WINDOW)))
+        a, b, large = (np.concatenate([x[k] for x in found]) for k in range(3))
+        a, b = np.minimum(a, b), np.maximum(a, b)
         differ = a != b
         if differ.any():
-            large = np.zeros(len(a), np.int64)
-            large[len(a) - len(far) :] = far - start_of[far] >= WINDOW
-            pairs = np.unique(np.stack([a[differ], b[differ], large[differ]]), axis=1)
+            pairs = np.unique(np.stack([a[differ], b[differ], large[differ].astype(np.int64)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(pairs[2] > 0)], names=["a", "b", "far"])
         last = start_of[-1]
-        tail_key, leader = key[-1], int(first[-1])
+        tail_key, leader, parts = key[-1], int(first[-1]), bool(of_parts[-1])
         tail = ids[max(last, len(ids) - WINDOW) :]
 
 
@@ -265,20 +292,20 @@ def with_words(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def across(docs: DataFrame, pairs: DataFrame, labels: DataFrame, scratch: Scratch, size: int, threshold: float) -> DataFrame | None:
-    """Links (a, b) between different components of the texts whose large buckets hold several; None if there are none.
+    """Links (a, b) between different components of the texts whose groups of large buckets hold several; None if there are none.
 
     In the group of a shingle the texts outside its largest component meet all others, so a big family costs no more than
     its rows times the strays among them.
     """
-    far = pairs.groupBy("a").agg(F.bool_or("far").alias("far")).filter("far").select("a")
     label = labels.select(F.col("vertex").alias("id"), F.col("root").alias("comp"))
-    around = pairs.join(far, "a", "left_semi").select("a", "b")
-    around = around.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    around = scratch.write(around.select("a", "b", (F.coalesce("ca", "a") != F.coalesce("cb", "b")).alias("mixed")), "around")
-    mixed = around.filter("mixed").select("a").distinct()
-    members = scratch.write(around.join(mixed, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("id")).distinct(), "members")
-    if members.isEmpty():
+    far = pairs.filter("far").select("a", "b")
+    ends = far.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    if ends.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).isEmpty():  # then no group holds several components
         return None
+    group = components(far.toDF("u", "v"), Scratch(docs.sparkSession, "neardup-far")).select(F.col("vertex").alias("id"), F.col("root").alias("grp"))
+    group = scratch.write(group.join(label, "id", "left").select("id", "grp", F.coalesce("comp", "id").alias("comp")), "around")
+    mixed = group.groupBy("grp").agg((F.min("comp") != F.max("comp")).alias("mixed")).filter("mixed").select("grp")
+    members = scratch.write(group.join(mixed, "grp", "left_semi").select("id"), "members")
     texts = docs.join(members, "id", "left_semi").join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "words")
     texts = scratch.write(texts, "strays")
     counts = texts.mapInArrow(slot_counts(size), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -311,13 +338,13 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, size: int = 5, th
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     stage = scratch.write(texts.mapInArrow(merge_equal(min_words), STAGE), "stage", partition_by="kind")
     edges = stage.filter("kind = 'e'").select("rep_id", "copy_id")
-    w = Window.partitionBy("wkey").orderBy("min_id", "rep_id")
-    reps = stage.filter("kind = 'r'").select("rep_id", F.first("min_id").over(w).alias("doc"), F.when(F.row_number().over(w) == 1, F.col("words")).alias("words"))
-    reps = scratch.write(reps, "reps")
+    met = stage.filter("kind = 'r'")
+    firsts = scratch.write(met.groupBy("wkey").agg(F.min("min_id").alias("id"), F.first("words").alias("words")), "firsts")
+    reps = scratch.write(met.select("rep_id", "wkey").join(firsts.select("wkey", F.col("id").alias("doc")), "wkey").select("rep_id", "doc"), "reps")
     scratch.drop("stage/kind=r")
-    docs = reps.filter("words is not null").select(F.col("doc").alias("id"), "words")
-    buckets = docs.mapInArrow(bucket_rows(size, bands, rows), "key bigint, id bigint")
-    flagged = buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(flagged_pairs, "a bigint, b bigint, far boolean")
+    docs = firsts.select("id", "words")
+    buckets = docs.mapInArrow(bucket_rows(size, bands, rows), "key bigint, id bigint, split boolean")
+    flagged = buckets.repartition("key").sortWithinPartitions("key", F.desc("split"), "id").mapInArrow(flagged_pairs, "a bigint, b bigint, far boolean")
     pairs = scratch.write(flagged.groupBy("a", "b").agg(F.bool_or("far").alias("far")), "pairs")
     links = with_words(pairs.select("a", "b"), docs).mapInArrow(verified(size, threshold), "a bigint, b bigint")
     labels = scratch.write(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch), "labels")

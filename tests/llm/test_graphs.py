@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from loomsql.llm import neardup, splits
@@ -126,6 +127,27 @@ def test_hot_bucket_links_far_members(spark):
     assert len(want) == 239 and {tuple(x) for x in got.collect()} == want
 
 
+def test_crowded_batches(spark, monkeypatch):
+    """Buckets split in every batch: links between texts of different parts, and texts that link to one member only."""
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    c = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(c[:20] + [f"x{i}"] + c[20:])) for i in range(200)]
+    rows += [(1000 + j, " ".join(c[2:20] + [f"x{3 * j + 40}"] + c[20:25] + [f"z{j}_{k}" for k in range(4)])) for j in range(40)]
+    key, who = neardup.parted(np.array([5] * 9 + [7], np.uint64), np.arange(10))
+    assert list(who) == [*range(10), 0] and key[9] == 7 and key[10] == 5 and len(set(key[:9])) == 1 and key[0] != 5
+    frame = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "doc long, body string").repartition(6)
+    assert {tuple(x) for x in neardup.near_duplicates(frame, "doc", "body", 3, 0.6, 20, bands=12, rows=1).collect()} == brute_near(rows, 3, 0.6, 20)
+
+
+def test_templated_texts(spark):
+    """Texts of one template: each has one partner above the threshold, all others are just below it."""
+    r = random.Random(1)
+    rows = [(2 * p + q, " ".join([f"c{k}" for k in range(80)] + [f"p{p}_{k}" for k in range(3)] + [f"q{p}_{q}_{k}" for k in range(18)])) for p in range(150) for q in range(2)]
+    r.shuffle(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc long, body string"), "doc", "body", 3, 0.69, 20)
+    assert {tuple(x) for x in got.collect()} == {(2 * p, 2 * p + 1) for p in range(150)}
+
+
 def test_sketch_estimates_similarity():
     import numpy as np
 
