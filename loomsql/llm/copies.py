@@ -4,9 +4,11 @@
 
 Plan: each task hashes its rows batch by batch and merges copies it can see itself, after comparing them byte by byte.
 What leaves a task is one row with text for each class it met (R) and bare id pairs for the rest (E), so a class that
-holds a third of all rows sends one text a task. R is shuffled once by signature; every row is compared with the first
-of its group; E meets the outcome in a join on the task's own representative, whose rows never exceed one task's input.
-Rows whose comparison fails (hash collisions) are grouped by exact canonical form instead.
+holds a third of all rows sends one text a task, or one text a slice once the task's memory of texts is full. R is shuffled
+once by signature; every row is compared with the first of its group. A group of more than ``HOT`` rows (counted first) is
+compared in parts of about that size, and the parts' first rows with each other. E meets the outcome in a join on the task's
+own representative, whose rows never exceed one task's input. Rows whose comparison fails (hash collisions) are grouped by
+exact canonical form instead.
 
 Defined results: null or blank texts belong to no class; a null key agrees with null only; repeated ids count as copies
 of themselves and yield no row; an empty table yields no rows; further columns of the input are ignored.
@@ -27,6 +29,9 @@ from .statements import Profile, canonical, sliced
 
 #: Bytes of text that one task keeps to recognise copies across its batches; beyond it the shuffle finds them.
 KEEP_BYTES = 16 << 20
+#: A group of more rows than this is compared in parts.
+HOT = 50_000
+CHECKED = "rep_id bigint, min_id bigint, sig bigint, key string, kept_id bigint, head bigint, text string, ok boolean"
 STAGE = "kind string, rep_id bigint, copy_id bigint, min_id bigint, sig bigint, key string, text string"
 _ARROW = pa.schema([("kind", pa.string()), ("rep_id", pa.int64()), ("copy_id", pa.int64()), ("min_id", pa.int64()), ("sig", pa.int64()), ("key", pa.string()), ("text", pa.string())])
 
@@ -134,16 +139,42 @@ def staged(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, key: Col
     return stage.filter("kind = 'r'").drop("kind", "copy_id"), stage.filter("kind = 'e'").select("rep_id", "copy_id")
 
 
+def parts_of(reps: DataFrame, by: list[str]) -> DataFrame:
+    """(by, parts) of every group of more than ``HOT`` rows."""
+    return reps.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select(*by, F.ceil(F.col("n") / HOT).alias("parts"))
+
+
+def in_parts(reps: DataFrame, hot: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """The rows with ``part``, spread over the parts of their group."""
+    other = hot.select(*(F.col(c).alias(f"hot_{c}") for c in by), "parts")
+    joined = reps.join(other, [F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in by], how)
+    return joined.withColumn("part", F.pmod(F.xxhash64("rep_id"), F.coalesce("parts", F.lit(1)))).select(*reps.columns, "part")
+
+
+def compared(reps: DataFrame, by: list[str]) -> DataFrame:
+    """Every row with the first of its group (``head``), to be verified."""
+    w = Window.partitionBy(*by).orderBy("min_id", "rep_id")
+    rows = reps.select("rep_id", "min_id", "sig", "key", "text", F.first("min_id").over(w).alias("kept_id"), F.first("rep_id").over(w).alias("head"), F.row_number().over(w).alias("rn"), F.first("text").over(w).alias("first_text"))
+    later = F.col("rn") > 1
+    return rows.select("rep_id", "min_id", "sig", "key", "kept_id", "head", F.when(later, F.col("text")).alias("text"), F.when(later, F.col("first_text")).alias("first_text"))
+
+
 def collapse(df: DataFrame, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
     """(kept_id, copy_id) for every row of a class but its least id, which is ``kept_id``. See the module's text."""
     scratch = Scratch(df.sparkSession, "copies")
     reps, edges = staged(df, scratch, id_col, text_col, key)
-    w = Window.partitionBy("sig", "key").orderBy("min_id", "rep_id")
-    compared = reps.select("rep_id", "min_id", "sig", "key", "text", F.first("min_id").over(w).alias("kept_id"), F.row_number().over(w).alias("rn"), F.first("text").over(w).alias("first_text"))
-    compared = compared.select("rep_id", "min_id", "sig", "key", "kept_id", F.when(F.col("rn") > 1, F.col("text")).alias("text"), F.when(F.col("rn") > 1, F.col("first_text")).alias("first_text"))
-    checked = scratch.write(compared.mapInArrow(verify, "rep_id bigint, min_id bigint, sig bigint, key string, kept_id bigint, text string, ok boolean"), "checked")
+    hot = scratch.write(parts_of(reps, ["sig", "key"]), "hot")
+    few = hot.isEmpty()
+    spread = reps.withColumn("part", F.lit(0).cast("bigint")) if few else in_parts(reps, hot, ["sig", "key"])
+    checked = scratch.write(compared(spread, ["sig", "key", "part"]).mapInArrow(verify, CHECKED), "checked")
+    classes = checked.filter("ok").select("rep_id", "kept_id", "head")
+    if not few:
+        heads = checked.filter("ok and rep_id = head").select("rep_id")
+        firsts = in_parts(reps, hot, ["sig", "key"], "inner").join(heads, "rep_id")
+        again = scratch.write(compared(firsts, ["sig", "key"]).mapInArrow(verify, CHECKED), "firsts").filter("ok")
+        classes = classes.join(again.select(F.col("rep_id").alias("head"), F.col("kept_id").alias("whole")), "head", "left").select("rep_id", F.coalesce("whole", "kept_id").alias("kept_id"))
+    classes = classes.select("rep_id", "kept_id")
     scratch.drop("stage/kind=r")
-    classes = checked.filter("ok").select("rep_id", "kept_id")
     collided = checked.filter("not ok")
     if not collided.isEmpty():
         exact = Window.partitionBy("sig", "key", _canonical("text"))

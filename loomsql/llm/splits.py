@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .contraction import components, least_of_component
-from .copies import _canonical, staged, trimmed_lower, verify
+from .copies import _canonical, in_parts, parts_of, staged, trimmed_lower, verify
 
 #: Components heavier than a 1/LARGE share of all records are placed one by one; there are fewer than LARGE of them.
 LARGE = 2000
-#: A statement with more rows than this is compared in so many parts.
-HOT, PARTS = 50_000, 64
 CHECKED = "rep_id bigint, sig bigint, key string, first_key string, class bigint, text string, ok boolean"
 
 
@@ -35,10 +33,8 @@ def statement_sources(df: DataFrame, id_col: str, text_col: str, source_col: str
     """
     reps, edges = staged(df, scratch, id_col, text_col, trimmed_lower(F.col(source_col)))
     # A statement held in very many sources is compared in parts, and the parts' first rows with each other.
-    many = reps.groupBy("sig").count().filter(F.col("count") > HOT)
-    hot = scratch.write(many.select("sig", F.lit(True).alias("hot")), "hot")
-    parts = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "rep_id"), F.lit(PARTS))).otherwise(F.lit(0))
-    spread = reps.withColumn("part", F.lit(0).cast("bigint")) if hot.isEmpty() else reps.join(hot, "sig", "left").withColumn("part", parts).drop("hot")
+    hot = scratch.write(parts_of(reps, ["sig"]), "hot")
+    spread = reps.withColumn("part", F.lit(0).cast("bigint")) if hot.isEmpty() else in_parts(reps, hot, ["sig"])
     checked = scratch.write(compared(spread, ["sig", "part"]).mapInArrow(verify, CHECKED), "checked")
     classes = checked.filter("ok").select("rep_id", "key", "first_key", "class")
     if not hot.isEmpty():

@@ -121,3 +121,15 @@ def test_verify():
 def test_found_on_the_tables(spark, data):
     rows = [tuple(r) for r in spark.read.parquet(f"{data}/spider_query.parquet").select("query_id", "db_id", "query").collect()]
     assert sorted(tuple(r) for r in copies.p2_found(spark, data).collect()) == brute(rows)
+
+
+def test_hot_groups_in_parts(spark, monkeypatch):
+    """A group with more rows than one task should hold."""
+    monkeypatch.setattr(copies, "HOT", 4)
+    rows = [(i, None if i % 2 else "db", "SELECT a, b FROM t" if i % 3 else f"SELECT {i % 50} FROM t") for i in range(600)]
+    df = spark.createDataFrame(random.Random(2).sample(rows, len(rows)), "query_id long, db_id string, query string").repartition(12)
+    least = {}
+    for i, d, q in rows:
+        least.setdefault((d, q), i)
+    want = {(least[d, q], i) for i, d, q in rows if least[d, q] != i}
+    assert {tuple(r) for r in copies.collapse(df, "query_id", "query", copies.trimmed_lower(F.col("db_id"))).collect()} == want

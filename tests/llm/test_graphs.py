@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from loomsql.llm import neardup, splits
+from loomsql.llm import copies, neardup, splits
 from loomsql.llm.contraction import components, least_of_component
 from loomsql.llm.statements import canonical
 from loomsql.session import Scratch
@@ -183,7 +183,7 @@ def test_p5_on_the_tables(spark, data):
 
 
 def test_statement_in_many_sources(spark, monkeypatch):
-    monkeypatch.setattr(splits, "HOT", 10)
+    monkeypatch.setattr(copies, "HOT", 10)
     rows = [(i, f"db{i % 60:02d}" if i % 7 else None, "SELECT a,b FROM t" if i % 3 else f"SELECT {i}") for i in range(400)]
     df = spark.createDataFrame(rows, "query_id long, db_id string, query string").repartition(5)
     held = {d for _, d, q in rows if d and "a,b" in q}
