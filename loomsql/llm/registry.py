@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": neardup.p5_found,
         "p1_subset": subset.p1_subset,
         "p6_ids": tokens.p6_ids,
+        "p6_chunked": tokens.p6_chunked,
         "p7_found": leaks.p7_found,
         "p7_overlaps": leaks.p7_overlaps,
         "p8_found": residue.p8_found,
@@ -61,6 +62,7 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN link
 firsts AS (SELECT a AS id, least(a, min(b)) AS first_id FROM reach GROUP BY a),
 members AS (SELECT query_id, id FROM words JOIN texts USING (w))
 SELECT coalesce(first_id, id) AS first_id, query_id FROM members LEFT JOIN firsts USING (id) WHERE query_id <> coalesce(first_id, id)""",
+    "p6_chunked": "SELECT doc_id, TRUE AS same FROM documents",
     "p7_found": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 e AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_item WHERE item_text IS NOT NULL),

@@ -26,8 +26,8 @@ from ..session import Scratch
 VOCABULARY = os.environ.get("LOOMSQL_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How this vocabulary splits text before merging; a fixed value that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = 65_536
-OVERLAP = 2_048
+CHUNK = 8_192
+OVERLAP = 1_024
 LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 SPACE = re.compile(LONG_SPACE.pattern.partition("{")[0])
 _encoders: dict = {}
@@ -87,6 +87,32 @@ def boundaries(text: str, pattern: str, final: bool) -> list[int]:
     return out
 
 
+def _chunks(chunk: int, overlap: int):
+    """(h, text) -> (h, last, idx, text): the chunks of each text with what follows them, cut in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                last = (len(text) - overlap - 1) // chunk
+                for k in range(0, last + 1, 1000):
+                    idx = range(k, min(k + 1000, last + 1))
+                    n = len(idx)
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * n, pa.int64()), pa.array([last] * n, pa.int64()), pa.array(idx, pa.int64()), pa.array([text[i * chunk : (i + 1) * chunk + overlap] for i in idx], pa.string())], names=["h", "last", "idx", "text"])
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, text, cuts) -> (h, cut, text): the pieces between the cuts, which alone travel on."""
+    for batch in batches:
+        for h, text, cuts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            at = [0, *(c for c in cuts or () if c), len(text)]
+            for k in range(0, len(at) - 1, 1000):
+                part = at[k : k + 1001]
+                n = len(part) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([h] * n, pa.int64()), pa.array(part[:-1], pa.int64()), pa.array([text[a:b] for a, b in zip(part, part[1:])], pa.string())], names=["h", "cut", "text"])
+
+
 def _edges(pattern: str, chunk: int, overlap: int):
     """(doc, last, idx, text) -> (doc, idx, head, tail): boundaries in the overlaps with the chunks before and after."""
 
@@ -115,22 +141,19 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = V
     done = short.mapInArrow(_encode(vocabulary, pattern), f"doc {kind}, ids array<int>")
 
     scratch = Scratch(df.sparkSession, "tokens")
-    long = texts.filter(n_chars > chunk + overlap).select(F.monotonically_increasing_id().alias("h"), "doc", "text", n_chars.cast("bigint").alias("n"))
+    long = texts.filter(n_chars > chunk + overlap).select(F.monotonically_increasing_id().alias("h"), "doc", "text")
     if long.isEmpty():
         return done.select(F.col("doc").alias(id_col), "ids")
     long = scratch.write(long, "long")
-    last = F.floor((F.col("n") - F.lit(overlap) - 1) / F.lit(chunk)).cast("bigint")
-    chunks = long.select("h", last.alias("last"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("idx"), "text")
-    chunks = chunks.select("h", "last", "idx", F.substring("text", (F.col("idx") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("text")).repartition("h", "idx")
+    chunks = long.select("h", "text").mapInArrow(_chunks(chunk, overlap), "h bigint, last bigint, idx bigint, text string").repartition("h", "idx")
     edges = chunks.mapInArrow(_edges(pattern, chunk, overlap), "doc bigint, idx bigint, head array<bigint>, tail array<bigint>")
     w = Window.partitionBy("doc").orderBy("idx")
     cuts = edges.select("doc", "idx", F.array_min(F.array_intersect("tail", F.lead("head").over(w))).alias("cut"), F.lead("idx").over(w).isNotNull().alias("more")).filter("more")
     # A cut holds only if its chunk was in step, so the first failure ends the list.
     sound = F.min(F.col("cut").isNotNull()).over(w.rowsBetween(Window.unboundedPreceding, 0))
     cuts = cuts.select("doc", "cut", sound.alias("sound")).filter("sound").select(F.col("doc").alias("h"), "cut")
-    starts = cuts.unionByName(long.select("h", F.lit(0).cast("bigint").alias("cut"))).distinct()
-    spans = starts.select("h", "cut", F.lead("cut").over(Window.partitionBy("h").orderBy("cut")).alias("next"))
-    pieces = spans.join(long, "h").select("h", "cut", F.substring("text", (F.col("cut") + 1).cast("int"), (F.coalesce("next", "n") - F.col("cut")).cast("int")).alias("text"))
+    starts = cuts.groupBy("h").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))  # one number for each chunk of a text
+    pieces = long.select("h", "text").join(starts, "h", "left").mapInArrow(_pieces, "h bigint, cut bigint, text string")
     coded = pieces.repartition("h", "cut").mapInArrow(_encode(vocabulary, pattern), "h bigint, cut bigint, ids array<int>")
     whole = coded.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("cut", "ids"))).alias("parts")).select("h", F.flatten("parts.ids").alias("ids"))
     joined = long.select("h", "doc").join(whole, "h").select("doc", "ids")
@@ -139,3 +162,12 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = V
 
 def p6_ids(spark, sf_dir: str) -> DataFrame:
     return encode_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+
+
+def p6_chunked(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, same): whether chunks of 300 characters, stitched, give each document the ids its whole text has."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    parts = encode_corpus(docs, "doc_id", "text", chunk=300, overlap=100)
+    whole = docs.select("doc_id", "text").mapInArrow(_encode(VOCABULARY, PATTERN), "doc_id bigint, ids array<int>")
+    both = whole.join(parts.withColumnRenamed("ids", "stitched"), "doc_id", "left")
+    return both.select("doc_id", F.coalesce(F.col("ids") == F.col("stitched"), F.lit(False)).alias("same"))

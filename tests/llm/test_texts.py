@@ -9,7 +9,7 @@ needs_vocabulary = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), rea
 
 
 @needs_vocabulary
-@pytest.mark.parametrize(("chunk", "overlap"), [(500, 100), (300, 299), (65_536, 2_048)])
+@pytest.mark.parametrize(("chunk", "overlap"), [(500, 100), (300, 299), (8_192, 1_024), (65_536, 2_048)])
 def test_encoding(spark, chunk, overlap):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(tokens.VOCABULARY.replace(".tiktoken", ".json"))
