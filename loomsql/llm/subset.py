@@ -11,6 +11,13 @@ so far, reaches the threshold, at most as many as are wanted still; the driver t
 order of a hash of their ids, and keeps those that still reach the threshold. A threshold is done when a round keeps all
 picks there were. The order of selection serves every size: the first k records are the subset of size k.
 
+A gain never rises, so each record keeps its last known gain as a bound: a round reads only records whose bound reaches its
+threshold (the bound is a sorted column of the table, pushed down to the scan). Whenever the threshold has halved the table
+is written anew with the gains of that moment and without the records chosen so far.
+
+Thresholds end at ``LEAST``: a record that adds less than a hundredth of what the first one can add covers nothing new, and
+what is still wanted then is filled in order of a hash of the ids, which favours no group.
+
 Defined results: every request gets exactly its size of distinct ids, or all ids if there are fewer; null ids are
 never chosen; records without any feature are chosen last; a null, zero or negative size gives no rows; ties fall by
 the hash of the id.
@@ -32,6 +39,7 @@ from .copies import trimmed_lower
 DIMS = 1 << 20
 KINDS = 4
 EPSILON = 0.08
+#: The last threshold; the first one is ``KINDS``.
 LEAST = 0.05
 TOKEN = re.compile(r"'[^']*'|\"[^\"]*\"|[a-z_]\w*|\d[\w.]*|[=<>!(]+")
 NAME = re.compile(r"[a-z_][\w ]*")
@@ -67,7 +75,7 @@ def features(statement: str) -> tuple[str, list[str], list[str]]:
 
 
 def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, source, text) -> (id, kinds): lists of feature numbers by kind, flat with their counts first."""
+    """(id, source, text) -> (id, kinds, bound): lists of feature numbers by kind, flat with their counts first, and the first gain."""
     from xxhash import xxh32_intdigest as h
 
     dims = DIMS - 1
@@ -85,7 +93,8 @@ def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds.append(last)
             kinds = [sorted(set(k)) for k in kinds]
             out.append([len(k) for k in kinds] + [f for k in kinds for f in k])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["id", "kinds"])
+        bound = [sum(n**0.5 / max(n, 1) ** 0.5 for n in k[:KINDS]) for k in out]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32())), pa.array(bound, pa.float64())], names=["id", "kinds", "bound"])
 
 
 def weighted(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,35 +108,61 @@ def gain(mass: np.ndarray, at: np.ndarray, w: np.ndarray) -> float:
     return float((np.sqrt(have + w) - np.sqrt(have)).sum())
 
 
-def picks(mass: np.ndarray, threshold: float, wanted: int, chosen: np.ndarray):
-    """(id, kinds) -> at most ``wanted`` records of a task that reach the threshold one after another.
+def gains_of(own: np.ndarray, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gain of each record, where its features start, how many they are, all features, their mass)."""
+    offsets = np.asarray(lists.offsets)
+    flat = np.asarray(lists.values)
+    starts, n = offsets[:-1], len(lists)
+    counts = np.stack([flat[starts + k] for k in range(KINDS)], axis=1)
+    size = counts.sum(axis=1)
+    w = np.repeat((1.0 / np.maximum(counts, 1) ** 2).ravel(), counts.ravel())
+    row = np.repeat(np.arange(n), size)
+    offs = np.cumsum(size) - size
+    at = flat[np.repeat(starts + KINDS - offs, size) + np.arange(len(row))]
+    have = own[at]
+    return np.bincount(row, np.sqrt(have + w) - np.sqrt(have), n), offs, size, at, w
 
-    What is sent to the tasks are the features the subset has so far, not all ``DIMS`` numbers.
-    """
+
+def spread(mass: np.ndarray):
+    """The mass as the features the subset has so far, not all ``DIMS`` numbers, and a function that lays it out again."""
     used = np.flatnonzero(mass).astype(np.int32)
     amount = mass[used]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, found = np.zeros(DIMS), 0
+    def whole() -> np.ndarray:
+        own = np.zeros(DIMS)
         own[used] = amount
+        return own
+
+    return whole
+
+
+def rebound(mass: np.ndarray, chosen: np.ndarray):
+    """(id, kinds, bound) -> the same with present gains, without the records chosen."""
+    whole = spread(mass)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = whole()
+        for batch in batches:
+            if batch.num_rows:
+                bound = pa.array(gains_of(own, batch.column(1))[0])
+                left = np.flatnonzero(~np.isin(batch.column(0).to_numpy(), chosen))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bound], names=["id", "kinds", "bound"]).take(pa.array(left))
+
+    return run
+
+
+def picks(mass: np.ndarray, threshold: float, wanted: int, chosen: np.ndarray):
+    """(id, kinds, bound) -> at most ``wanted`` records of a task that reach the threshold one after another."""
+    whole = spread(mass)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, found = whole(), 0
         for batch in batches:
             if found >= wanted or not batch.num_rows:
                 continue
-            ids = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            offsets = np.asarray(lists.offsets)
-            flat = np.asarray(lists.values)
-            starts, n = offsets[:-1], len(ids)
-            counts = np.stack([flat[starts + k] for k in range(KINDS)], axis=1)
-            size = counts.sum(axis=1)
-            w = np.repeat((1.0 / np.maximum(counts, 1) ** 2).ravel(), counts.ravel())
-            row = np.repeat(np.arange(n), size)
-            offs = np.cumsum(size) - size
-            at = flat[np.repeat(starts + KINDS - offs, size) + np.arange(len(row))]
-            have = own[at]
-            gains = np.bincount(row, np.sqrt(have + w) - np.sqrt(have), n)
+            gains, offs, size, at, w = gains_of(own, batch.column(1))
             keep = []
-            for i in np.flatnonzero((gains >= threshold) & ~np.isin(ids, chosen)):
+            for i in np.flatnonzero((gains >= threshold) & ~np.isin(batch.column(0).to_numpy(), chosen)):
                 s, e = offs[i], offs[i] + size[i]
                 if gain(own, at[s:e], w[s:e]) >= threshold:
                     own[at[s:e]] += w[s:e]
@@ -145,13 +180,21 @@ def selection_order(df: DataFrame, id_col: str, text_col: str, source_col: str,
     """Ids of at most ``wanted`` records in the order of selection."""
     scratch = Scratch(df.sparkSession, "subset")
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), trimmed_lower(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
-    table = scratch.write(rows.mapInArrow(featured, "id bigint, kinds array<int>"), "features")
+    by_bound = F.col("bound").desc()
+    table = scratch.write(rows.mapInArrow(featured, "id bigint, kinds array<int>, bound double").sortWithinPartitions(by_bound), "features0")
     mass = np.zeros(DIMS)
     chosen: dict[int, None] = {}
-    threshold = float(KINDS)
+    threshold = renewed = float(KINDS)
+    written, before = 0, 0  # how often the table was written, and how many were chosen by then
     while len(chosen) < wanted and threshold >= LEAST:
         left = wanted - len(chosen)
-        some = table.mapInArrow(picks(mass, threshold, left, np.array(list(chosen), np.int64)), table.schema)
+        if threshold <= renewed / 2:
+            fresh = table.mapInArrow(rebound(mass, np.array(list(chosen)[before:], np.int64)), table.schema).sortWithinPartitions(by_bound)
+            table = scratch.write(fresh, f"features{written + 1}")
+            scratch.drop(f"features{written}")
+            written, before, renewed = written + 1, len(chosen), threshold
+        recent = np.array(list(chosen)[before:], np.int64)
+        some = table.filter(F.col("bound") >= threshold - 1e-9).mapInArrow(picks(mass, threshold, left, recent), table.schema)
         got = some.orderBy(F.xxhash64("id"), "id").limit(4 * left).collect()
         dropped = 0
         for r in got:
