@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 #: A graph with more edges than this isn't one of element names but of data used as names.
 MAX_EDGES = 100_000
-INLINE_DEPTH = 2
 
 
 @dataclass(frozen=True)
@@ -245,30 +244,30 @@ def _text(value: object) -> str | None:
 
 
 def columns_of(value: object, rules: tuple[Rule, ...], tables: set[str], named: frozenset[str] | None) -> dict[str, str | None]:
-    """Scalars of an element and of singletons inlined in it, by dotted name, down to ``INLINE_DEPTH`` objects below it."""
+    """Scalars of an element and of all singletons inlined in it, however deep, by dotted name."""
     if not isinstance(value, dict):
         return {"value": _text(value)}
     out: dict[str, str | None] = {}
-    stack = [("", value, 0)]
+    stack = [("", value)]
     while stack:
-        prefix, obj, depth = stack.pop()
+        prefix, obj = stack.pop()
         for k, v in obj.items():
             if isinstance(v, list):
                 continue
             if isinstance(v, dict):
                 names = _names(v, k, False, obj, rules) or ([k] if named is None else [])
-                if depth < INLINE_DEPTH and not any(n in tables for n in names):
-                    stack.append((f"{prefix}{k}.", v, depth + 1))
+                if not any(n in tables for n in names):
+                    stack.append((f"{prefix}{k}.", v))
                 continue
             out[_utf8(prefix + k)] = _text(v)
     return out
 
 
-def shred(df: DataFrame, id_col: str, json_col: str, rules: tuple[Rule, ...] = (), keep: frozenset[str] | None = None, tables: set[str] | None = None) -> DataFrame:
+def shred(df: DataFrame, id_col: str, json_col: str, rules: tuple[Rule, ...] = (), keep: frozenset[str] | None = None, tables: set[str] | None = None, columns: frozenset[str] | None = None) -> DataFrame:
     """(record_id, relation, node_path, parent_relation, parent_path, ordinal, columns, inlined) of every element with a table.
 
     ``inlined`` holds, by element name, the JSON text of the singleton elements that lie in the row. ``tables`` is taken
-    from the data's own graph if it isn't given.
+    from the data's own graph if it isn't given. ``columns`` names the elements whose columns are wanted (all if it isn't given).
     """
     if tables is None:
         edges = schema_graph(df, json_col, rules, keep).limit(MAX_EDGES + 1).collect()
@@ -285,7 +284,7 @@ def shred(df: DataFrame, id_col: str, json_col: str, rules: tuple[Rule, ...] = (
                 at: dict[tuple[str, str], list] = {}
                 for name, path, parent, parent_path, v, ordinal, _ in walk(value, rules, keep):
                     if name in own:
-                        row = [name, path, parent, parent_path, ordinal, columns_of(v, rules, own, keep), {}]
+                        row = [name, path, parent, parent_path, ordinal, columns_of(v, rules, own, keep) if columns is None or name in columns else {}, {}]
                         at[name, path] = row
                         rec.append(i)
                         rows.append(row)
@@ -321,5 +320,5 @@ STATEMENT_RULES = (
 STATEMENT_ELEMENTS = frozenset(r.name for r in STATEMENT_RULES)
 
 
-def statement_rows(df: DataFrame) -> DataFrame:
-    return shred(df, "sql_id", "ast_json", STATEMENT_RULES, STATEMENT_ELEMENTS)
+def statement_rows(df: DataFrame, columns: frozenset[str] | None = None) -> DataFrame:
+    return shred(df, "sql_id", "ast_json", STATEMENT_RULES, STATEMENT_ELEMENTS, columns=columns)

@@ -90,3 +90,12 @@ def test_generic_shredding(spark):
 def test_walk_order():
     v = json.loads('{"body": {"order_by": [1, 2]}, "limit": 4}')
     assert [(n, p) for n, p, *_ in walk(v, STATEMENT_RULES, STATEMENT_ELEMENTS)] == [("query", "$"), ("order", "$/body/order_by/0"), ("order", "$/body/order_by/1"), ("limit", "$/limit")]
+
+
+def test_singletons_of_any_depth_are_columns(spark):
+    from loomsql.operators.nested import STATEMENT_ELEMENTS, STATEMENT_RULES, shred
+
+    df = spark.createDataFrame([(1, '{"body": 1, "a": {"b": {"c": {"d": {"e": 5}}}}}')], "id long, j string")
+    row = shred(df, "id", "j", STATEMENT_RULES, STATEMENT_ELEMENTS).first()
+    assert row["columns"] == {"body": "1", "a.b.c.d.e": "5"}
+    assert shred(df, "id", "j", STATEMENT_RULES, STATEMENT_ELEMENTS, columns=frozenset(("order",))).first()["columns"] == {}
