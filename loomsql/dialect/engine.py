@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ast as A
@@ -31,7 +33,7 @@ class Engine:
         """An engine over the tables of a folder that a text names."""
         from ..session import TABLES
 
-        words = set(text.lower().replace("(", " ").replace(")", " ").replace(",", " ").replace(";", " ").split())
+        words = set(re.findall(r"\w+", text.lower()))  # quoted names too
         return cls(spark, {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in TABLES if n in words}, KEYS)
 
     def bind(self, q: A.Query | str) -> tuple[Binder, Bound]:
@@ -57,7 +59,6 @@ class Engine:
             df.createOrReplaceTempView(name)
         return self.spark.sql(self.to_spark(q))
 
-
     def create_view(self, text: str) -> DataFrame:
         """Runs CREATE VIEW: the query becomes one of the engine's tables."""
         found = parse_view(text)

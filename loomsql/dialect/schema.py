@@ -7,11 +7,11 @@ import re
 from pyspark.sql import types as T
 
 from .binder import Relation
-from .parser import TYPES, SyntaxProblem, tokens
+from .parser import TYPES, tokens
 
 SPARK = {
     "int": T.IntegerType(), "bigint": T.LongType(), "numeric": T.DecimalType(38, 10), "double": T.DoubleType(), "text": T.StringType(), "bool": T.BooleanType(),
-    "date": T.DateType(), "timestamp": T.TimestampNTZType(), "interval": T.DayTimeIntervalType(), "bytea": T.BinaryType(),
+    "date": T.DateType(), "timestamp": T.TimestampNTZType(), "interval": T.DayTimeIntervalType(), "bytea": T.BinaryType(), "other": T.StringType(),
 }
 
 
@@ -21,7 +21,7 @@ def logical(t: T.DataType) -> str:
         return f"numeric({t.precision},{t.scale})"
     for kind, classes in (
         ("int", (T.ByteType, T.ShortType, T.IntegerType)), ("bigint", (T.LongType,)), ("double", (T.FloatType, T.DoubleType)), ("text", (T.StringType,)), ("bool", (T.BooleanType,)),
-        ("date", (T.DateType,)), ("timestamp", (T.TimestampType, T.TimestampNTZType)), ("interval", (T.DayTimeIntervalType, T.YearMonthIntervalType)), ("bytea", (T.BinaryType,)), ("null", (T.NullType,)),
+        ("date", (T.DateType,)), ("timestamp", (T.TimestampType, T.TimestampNTZType)), ("interval", (T.DayTimeIntervalType,)), ("interval(ym)", (T.YearMonthIntervalType,)), ("bytea", (T.BinaryType,)), ("null", (T.NullType,)),
     ):
         if isinstance(t, classes):
             return kind
@@ -70,8 +70,7 @@ def parse_ddl(text: str) -> dict[str, Relation]:
                     key = tuple(_name(x) for x in inside if x != ",")
                 continue
             kind = TYPES.get(words[1]) or {"varchar2": "text", "tinyint": "int", "mediumint": "int", "year": "int", "clob": "text"}.get(words[1])
-            if kind is None:
-                raise SyntaxProblem(f"{name}.{p[0]}: type {p[1]}")
+            kind = kind or "other"  # a column no expression takes
             if kind == "numeric" and len(p) > 5 and p[2] == "(" and p[4] == ",":
                 kind = f"numeric({p[3]},{p[5]})"
             columns.append((_name(p[0]), kind))

@@ -35,7 +35,7 @@ def position(what: Column, within: Column) -> Column:
 
 def int_div(a: Column, b: Column) -> Column:
     """Division of whole numbers toward zero, as a bigint."""
-    return ((a - F.call_function("mod", a, b)) / b).cast("bigint")
+    return F.call_function("div", a, b).cast("bigint")
 
 
 def bit_xor(a: Column, b: Column) -> Column:
@@ -48,8 +48,8 @@ def date_plus_interval(d: Column, interval: Column) -> Column:
 
 
 def round_cast(x: Column, type_: str) -> Column:
-    """CAST to a whole number that rounds instead of cutting off."""
-    return F.rint(x).cast(type_)
+    """CAST to a whole number that rounds instead of cutting off: halves to even for doubles, away from zero for decimals."""
+    return F.when(F.typeof(x).startswith("decimal"), F.round(x).cast(type_)).otherwise(F.rint(x).cast(type_))
 
 
 def default_nulls(c: Column, ascending: bool = True) -> Column:

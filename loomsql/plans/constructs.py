@@ -183,6 +183,27 @@ CONSTRUCTS: list[tuple[str, ...]] = [
     ("literal_cast", "SELECT n_nationkey, CAST(5 AS bigint) AS a, CAST('2023-08-27' AS date) AS b, CAST('7' AS int) AS c FROM nation"),
     ("cast_rounds", "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS bigint) AS a, CAST(l_discount * 100 AS int) AS b FROM lineitem"),
     ("literals", "SELECT true AS a, false AS b, 5 AS c, 3000000000 AS d, 'it''s' AS e, DATE '2023-08-27' AS f, TIMESTAMP '2023-01-30 14:37:05' AS g, 2.5 = 2.50 AS h"),
+    # texts in quotes take the type of what they stand beside
+    ("literal_date_cmp", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS date) >= '1998-01-01' AND o_orderdate < '1998-07-01' AND CAST(o_orderdate AS date) BETWEEN '1998-02-01' AND '1998-05-31' AND o_orderkey > '100' AND o_totalprice > '1000.5'"),
+    ("literal_in", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS date) IN ('1998-01-02', '1998-03-04', '1999-05-06') OR o_orderkey IN ('7', '32') OR o_orderkey = ANY (SELECT n_nationkey FROM nation) AND '5' NOT IN (SELECT n_nationkey FROM nation)",
+     "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS date) IN ('1998-01-02', '1998-03-04', '1999-05-06') OR o_orderkey IN (7, 32) OR o_orderkey IN (SELECT n_nationkey FROM nation) AND 5 NOT IN (SELECT n_nationkey FROM nation)"),
+    ("literal_case", "SELECT n_nationkey, CASE n_regionkey WHEN '1' THEN 10 WHEN '2' THEN '20' ELSE '30' END AS a, coalesce(nullif(n_regionkey, '3'), '-1') AS b, greatest(n_nationkey, '12') AS c FROM nation",
+     "SELECT n_nationkey, CASE n_regionkey WHEN 1 THEN 10 WHEN 2 THEN 20 ELSE 30 END AS a, coalesce(nullif(n_regionkey, 3), -1) AS b, greatest(n_nationkey, 12) AS c FROM nation"),
+    ("literal_union", "SELECT CAST(o_orderdate AS date) AS d, o_orderkey AS k FROM orders WHERE o_orderkey < 50 UNION SELECT '1990-01-01', '5' FROM region",
+     "SELECT CAST(o_orderdate AS date) AS d, o_orderkey AS k FROM orders WHERE o_orderkey < 50 UNION SELECT DATE '1990-01-01', 5 FROM region"),
+    ("extract_interval_ym", "SELECT n_nationkey, extract(year FROM INTERVAL '14' month) AS y, extract(month FROM INTERVAL '14' month) AS m, extract(quarter FROM INTERVAL '14' month) AS q, extract(decade FROM INTERVAL '25' year) AS d, extract(month FROM INTERVAL '40' day) AS z, extract(quarter FROM INTERVAL '40' day) AS u, extract(year FROM -INTERVAL '14' month) AS w, extract(day FROM CASE WHEN n_nationkey > 5 THEN INTERVAL '3' month END) AS v FROM nation",
+     "SELECT n_nationkey, 1 AS y, 2 AS m, 1 AS q, 2 AS d, 0 AS z, 1 AS u, -1 AS w, CASE WHEN n_nationkey > 5 THEN 0 END AS v FROM nation"),
+    ("rollup_empty", "SELECT n_regionkey, n_name, count(*) AS n, sum(n_nationkey) AS s, grouping(n_name) AS g FROM nation WHERE n_nationkey < 0 GROUP BY ROLLUP (n_regionkey, n_name)",
+     "SELECT CAST(NULL AS INTEGER) AS n_regionkey, CAST(NULL AS VARCHAR) AS n_name, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS s, 1 AS g"),
+    ("cube_empty", "SELECT n_regionkey + 1 AS a, n_name || 'x' AS b, count(*) + 1 AS n FROM nation WHERE n_nationkey < 0 GROUP BY CUBE (n_regionkey, n_name)",
+     "SELECT CAST(NULL AS INTEGER) AS a, CAST(NULL AS VARCHAR) AS b, CAST(1 AS BIGINT) AS n"),
+    ("sets_empty", "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey < 0 GROUP BY GROUPING SETS ((n_regionkey), (), ()) ORDER BY n",
+     "SELECT CAST(NULL AS INTEGER) AS n_regionkey, CAST(0 AS BIGINT) AS n FROM range(2)"),
+    ("totals_having_empty", "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey < 0 GROUP BY ROLLUP (n_regionkey) HAVING count(*) = 0 AND n_regionkey IS NULL",
+     "SELECT CAST(NULL AS INTEGER) AS n_regionkey, CAST(0 AS BIGINT) AS n"),
+    ("quoted_table", 'SELECT "n_name" FROM "nation"'),
+    ("not_in_nulls", "SELECT n_nationkey FROM nation WHERE nullif(n_nationkey, 3) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 1) AND n_nationkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 99)"),
+    ("not_in_null_inside", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(r_regionkey, 2) FROM region)"),
     # what only the workloads use
     ("cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), top AS (SELECT o_custkey AS k FROM big WHERE s > 2000000) SELECT c_name FROM customer JOIN top ON c_custkey = k"),
     ("cte_reused", "WITH m (k, n) AS (SELECT c_nationkey, count(*) FROM customer GROUP BY c_nationkey) SELECT a.k AS k, b.n AS n FROM m AS a JOIN m AS b ON a.k = b.k + 1"),

@@ -141,3 +141,25 @@ def test_logics():
         assert not logics_agree(parse(f"SELECT 1 FROM r WHERE {bad}"))
     with pytest.raises(ValueError):
         logics_agree(parse("SELECT 1 UNION SELECT 2"))
+
+
+def test_not_in_is_no_broadcast(spark, data):
+    """Without broadcasts by size the inner side of NOT IN is sorted and merged, whatever its size."""
+    from loomsql.dialect.engine import run
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for text in ("o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", "o_custkey <> ALL (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"):
+            plan = run(spark, data, f"SELECT o_orderkey FROM orders WHERE {text}")._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin" in plan and "LeftAnti" in plan and "BroadcastHashJoin" not in plan and "NestedLoop" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("text", ["SELECT * FROM orders WHERE o_orderdate > 'x' + 1", "SELECT n_name FROM nation WHERE n_nationkey = n_name", "SELECT n_nationkey FROM nation WHERE n_nationkey * 1.5 > 'abc'"])
+def test_literals_that_do_not_fit(spark, data, text):
+    from loomsql.dialect.binder import BindProblem
+    from loomsql.dialect.engine import run
+
+    with pytest.raises(BindProblem):
+        run(spark, data, text)

@@ -35,3 +35,9 @@ def test_stream_gives_the_table_s_windows(spark, data, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r)[:3] for r in spark.table("windows").collect()} == whole
+
+
+def test_whole_numbers_beyond_doubles(spark):
+    df = spark.sql("SELECT 9007199254740993L AS a, 1L AS b, -7L AS c, 2L AS d, CAST(2.5 AS DECIMAL(4, 1)) AS e, 2.5D AS f")
+    row = df.select(pg.int_div(F.col("a"), F.col("b")).alias("x"), pg.int_div(F.col("c"), F.col("d")).alias("y"), pg.round_cast(F.col("e"), "int").alias("z"), pg.round_cast(F.col("f"), "int").alias("w")).first()
+    assert tuple(row) == (9007199254740993, -3, 3, 2)
