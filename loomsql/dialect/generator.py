@@ -16,9 +16,9 @@ from dataclasses import dataclass, field
 
 from . import ast as A
 from .binder import Binder, Relation
-from .grammar import AGGREGATES, COMPARISONS, DATE_FIELDS, GRAMMAR, LEAST_CALLS, NARROWER, NUMBERS, TIME_FIELDS, TYPES
+from .grammar import AGGREGATES, COMPARISONS, DATE_FIELDS, GRAMMAR, LEAST_CALLS, NARROWER, NUMBERS, SPAN_FIELDS, TIME_FIELDS, TYPES
 
-Step = tuple  # ("call", f), ("option", f, o), ("value", what, v) or ("exit", f)
+Step = tuple  # ("call", f, detail), ("option", f, o), ("value", what, v) or ("exit", f)
 
 
 class NotRecognised(ValueError):
@@ -141,6 +141,17 @@ LITERALS = {
 }
 
 
+class Call(str):
+    """The name of a function being walked, with its parameters and open gates."""
+
+    __slots__ = ("detail",)
+
+    def __new__(cls, name: str, detail: str = "") -> "Call":
+        self = super().__new__(cls, name)
+        self.detail = detail
+        return self
+
+
 class Walker:
     def __init__(self, schema: dict[str, Relation], chooser: Chooser | None = None, types: Callable[[A.Expr], str] | None = None):
         self.schema = schema
@@ -152,16 +163,17 @@ class Walker:
         self.before: list[str] = []
         self.aliases = 0
         self.no_literal = False
+        self.no_bare = 0
 
     # decisions
 
-    def enter(self, f: str) -> None:
-        self.stack.append(f)
+    def enter(self, f: str, detail: str = "") -> None:
+        self.stack.append(Call(f, detail))
         self.before.append("entry")
-        self.path.append(("call", f))
+        self.path.append(("call", f, detail))
 
     def leave(self) -> None:
-        self.path.append(("exit", self.stack.pop()))
+        self.path.append(("exit", str(self.stack.pop())))
         self.before.pop()
 
     def option(self, options: list[str], want: str | None) -> str:
@@ -198,12 +210,13 @@ class Walker:
 
     # queries
 
-    def query(self, depth: int = 0, types: list[str] | None = None, single: bool = False, t: A.Query | None = None, outer: list[Relation] | None = None) -> tuple[A.Query, list[tuple[str, str]]]:
+    def query(self, depth: int = 0, types: list[str] | None = None, single: bool = False, t: A.Query | None = None, outer: list[Relation] | None = None, sorted_around: bool = False) -> tuple[A.Query, list[tuple[str, str]]]:
         if t is not None and (t.ctes or t.offset):
             raise NotRecognised("WITH and OFFSET aren't in the grammar")
-        self.enter("query")
-        o = self.option(["plain", "ordered"], t and ("ordered" if t.order_by else "plain"))
-        body, columns, ctx, select = self.body(depth, types, single, t.body if t else None, outer)
+        self.enter("query", ("single " if single else "") + ",".join(types or ()))
+        # In a chain of queries right around each other one has an ORDER BY, and one a LIMIT.
+        o = self.option(["plain"] if sorted_around else ["plain", "ordered"], t and ("ordered" if t.order_by else "plain"))
+        body, columns, ctx, select = self.body(depth, types, single, t.body if t else None, outer, sorted_around or o == "ordered")
         order: list[A.OrderItem] = []
         if o == "ordered":
             n = self.number("order items", 1, 2, len(t.order_by) if t else 0)
@@ -211,7 +224,10 @@ class Walker:
         limit = None
         one_row = isinstance(body, A.Select) and (Binder({}).has_aggregate(body.items) if not body.group_by else any(isinstance(g, A.Grouping) and g.kind == "SINGLE" for g in body.group_by))
         self.enter("limit")
-        options = (["none"] if not single or one_row else []) + ["one"] + ([] if single else ["n"])
+        limited, inside = False, body
+        while isinstance(inside, A.Query):
+            limited, inside = limited or inside.limit is not None, inside.body
+        options = ["none"] if limited else (["none"] if not single or one_row else []) + ["one"] + ([] if single else ["n"])
         want = t and ("none" if t.limit is None else "one" if t.limit == A.Literal("int", "1") else "n")
         if self.option(options, want) != "none":
             limit = A.Literal("int", "1") if self.before[-1] == "one" else self.value("limit", [A.Literal("int", str(k)) for k in (2, 5, 10)] if not self.given else [], t.limit if t else None)
@@ -234,14 +250,16 @@ class Walker:
             raise NotRecognised("nothing to sort by")
         else:
             self.no_literal = True  # a number would be a position
+            self.no_bare += 1  # a bare name would be an output
             e = self.expr(self.type("sort type", ctx, t and t.e), ctx, t.e if t else None)
+            self.no_bare -= 1
         asc = self.value("direction", [None, True, False], t.asc if t else None)
         nulls = self.value("nulls", [None, True, False], t.nulls_first if t else None)
         self.leave()
         return A.OrderItem(e, asc, nulls)
 
-    def body(self, depth, types, single, t, outer=None):
-        self.enter("body")
+    def body(self, depth, types, single, t, outer=None, sorted_around=False):
+        self.enter("body", ",".join(types or ()))
         options = ["select"] if single else ["select", "union", "intersect", "except"] + ["query"] * (depth < MAX_DEPTH)
         if depth >= MAX_DEPTH:
             options = ["select"]
@@ -254,7 +272,7 @@ class Walker:
         if o == "select":
             out = self.select(depth, types, t, outer)
         elif o == "query":
-            q, columns = self.query(depth + 1, types, False, t)
+            q, columns = self.query(depth + 1, types, False, t, None, sorted_around)
             plain = q.order_by or q.limit
             out = (q if plain else q.body, columns, None, None)  # parentheses alone leave no trace
         else:
@@ -366,42 +384,63 @@ class Walker:
         self.enter("group")
         pool = [(A.Column(n, r.alias), kind(k)) for r in relations for n, k in r.columns if n and kind(k)]
         want = None
+        gs = t.group_by if t is not None else ()
         if t is not None:
-            gs = t.group_by
             special = [g for g in gs if isinstance(g, A.Grouping)]
-            if not all(isinstance(g, (A.Grouping, A.Column)) for g in gs) or special and len(gs) > 1:
-                raise NotRecognised("GROUP BY takes columns, or one special grouping")
-            want = "none" if not gs else special[0].kind.lower() if special else "columns"
-        options = ["none", "single"] + (["columns", "rollup", "cube", "grouping sets"] if pool else [])
+            if not all(isinstance(g, (A.Grouping, A.Column)) for g in gs):
+                raise NotRecognised("GROUP BY takes columns and special groupings")
+            want = "none" if not gs else "columns" if not special else "mixed" if len(gs) > 1 else special[0].kind.lower()
+        options = ["none", "single"] + (["columns", "rollup", "cube", "grouping sets", "mixed"] if pool else [])
         o = self.option(options, want)
         group: tuple[A.Node, ...] = ()
-        grouped: list[tuple[A.Column, str]] = []
-        kinds = dict(pool)
+        keys = [c for c, _ in pool]
+
+        def key(want) -> A.Column:
+            return self.value("key", keys, want)
+
+        def special_part(kind_: str, g) -> A.Grouping:
+            sets = g.sets if g is not None else ()
+            low = 0 if kind_ == "grouping sets" else 1
+            new = []
+            for i in range(self.number("sets", 1, 3, len(sets))):
+                m = self.number("set size", low, 2, len(sets[i]) if g is not None else 0)
+                new.append(tuple(key(sets[i][j] if g is not None else None) for j in range(m)))
+            return A.Grouping(kind_.upper(), tuple(new))
+
         if o == "single":
             group = (A.Grouping("SINGLE"),)
         elif o == "columns":
-            n = self.number("keys", 1, 3, len(t.group_by) if t else 0)
-            cols = [self.value("key", [c for c, _ in pool], t.group_by[i] if t else None) for i in range(n)]
+            cols = [key(gs[i] if gs else None) for i in range(self.number("keys", 1, 3, len(gs)))]
             group = tuple(dict.fromkeys(cols)) if t is None else tuple(cols)
-            grouped = [(c, kinds[c]) for c in dict.fromkeys(cols)]
+        elif o == "mixed":
+            parts: list[A.Node] = []
+            for i in range(self.number("parts", 2, 3, len(gs))):
+                g = gs[i] if gs else None
+                of = self.value("part", ["rollup", "cube", "grouping sets"] + ["column"] * (i > 0 or self.given), g and ("column" if isinstance(g, A.Column) else g.kind.lower()))
+                parts.append(key(g) if of == "column" else special_part(of, g))
+            group = tuple(parts)
         elif o != "none":
-            sets = t.group_by[0].sets if t else ()
-            n = self.number("sets", 1, 3, len(sets))
-            new = []
-            for i in range(n):
-                low = 0 if o == "grouping sets" else 1
-                m = self.number("set size", low, 2, len(sets[i]) if t else 0)
-                new.append(tuple(self.value("key", [c for c, _ in pool], sets[i][j] if t else None) for j in range(m)))
-            group = (A.Grouping(o.upper(), tuple(new)),)
-            grouped = [(c, kinds[c]) for c in dict.fromkeys(c for s in new for c in s)]
+            group = (special_part(o, gs[0] if gs else None),)
+        kinds = dict(pool)
+        used = [c for g in group for c in ([g] if isinstance(g, A.Column) else [c for one in g.sets for c in one])]  # type: ignore[union-attr]
+        grouped = [(c, kinds[c]) for c in dict.fromkeys(used)]
         self.leave()
         return group, grouped
 
     def items(self, types, ctx: Context, t):
-        self.enter("items")
+        self.enter("items", ",".join(types or ()))
         out: list[A.Node] = []
         columns: list[tuple[str, str]] = []
-        self.option(["list"], "list")
+        plain = [r for r in ctx.relations if r.columns and all(n and kind(k) for n, k in r.columns)]
+        stars = types is None and ctx.grouped is None and not self.given and len(plain) == len(ctx.relations)
+        names = [n for r in ctx.relations for n, _ in r.columns]
+        once = stars and len(set(names)) == len(names)  # outputs are sorted by their names
+        o = self.option(["list"] + ["star"] * once + ["relation star"] * stars, "list")  # bound trees have their stars spelt out
+        if o != "list":
+            of = self.value("relation", plain, None) if o == "relation star" else None
+            columns = [(n, kind(k)) for r in ([of] if of else ctx.relations) for n, k in r.columns]
+            self.leave()
+            return [A.Star(of.alias if of else "")], columns
         n = len(types) if types is not None else self.number("items", 1, 4, len(t.items) if t else 0)
         if t is not None and len(t.items) != n:
             raise NotRecognised(f"{len(t.items)} columns, not {n}")
@@ -422,7 +461,7 @@ class Walker:
 
     def expr(self, k: str, ctx: Context, t: A.Expr | None = None) -> A.Expr:
         f = f"expr_{k}"
-        self.enter(f)
+        self.enter(f, "aggregates " * ctx.aggregates + "grouped " * (ctx.grouped is not None) + "no literal " * self.no_literal + "deep" * (ctx.depth >= MAX_DEPTH))
         deep = ctx.depth >= MAX_DEPTH
         options = []
         for o in GRAMMAR[f]:
@@ -534,7 +573,9 @@ class Walker:
         if o == "literal":
             return self.literal(k, t)
         if o == "column":
-            return self.value("column", ctx.pool(k), t)
+            c = self.value("column", ctx.pool(k), t)
+            bare = not self.given and not self.no_bare and sum(n == c.name for r in ctx.relations for n, _ in r.columns) == 1
+            return A.Column(c.name) if not self.value("qualified", [True, True, False] if bare else [True], True if self.given else None) else c
         if o == "typed null":
             return A.Cast(A.Literal("null", ""), self.value("null type", [{"numeric": "numeric"}.get(k, k)], t.type if g else None) if not self.given else self.value("null type", [], t.type))
         if o.startswith("narrow "):
@@ -577,7 +618,7 @@ class Walker:
             return A.Position(x("text", t.what if g else None), x("text", t.within if g else None))
         if o.startswith("extract "):
             kk = o[8:]
-            f = self.value("field", list(TIME_FIELDS if kk == "timestamp" else DATE_FIELDS), t.field if g else None)
+            f = self.value("field", list(TIME_FIELDS if kk == "timestamp" else SPAN_FIELDS if kk == "interval" else DATE_FIELDS), t.field if g else None)
             return A.Extract(f, x(kk, t.e if g else None))
         if o in ("trim", "trim what"):
             side = self.value("side", ["BOTH", "LEADING", "TRAILING"], t.side if g else None)

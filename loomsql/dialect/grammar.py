@@ -11,6 +11,7 @@ NUMBERS = ("int", "bigint", "numeric")
 NARROWER = {"numeric": ("bigint", "int"), "bigint": ("int",)}
 COMPARISONS = ("=", "<>", "<", "<=", ">", ">=")
 DATE_FIELDS = ("day", "week", "month", "quarter", "year", "isodow", "isoyear", "decade", "century", "millennium")
+SPAN_FIELDS = ("day", "hour", "minute", "month", "quarter", "year", "decade", "century", "millennium")
 TIME_FIELDS = ("minute", "hour", *DATE_FIELDS)
 
 #: Aggregates by result type: name -> argument types.
@@ -35,7 +36,7 @@ def _numbers(t: str) -> dict[str, tuple[str, ...]]:
     if t != "numeric":
         out |= {f"op {o}": (e, e) for o in ("&", "|", "#")} | {"unary ~": (e,)}
     else:
-        out |= {"op ^": (e, e), "unary ||/": (e,), "unary |/": (e,), "extract timestamp": ("expr_timestamp",), "extract date": ("expr_date",)}
+        out |= {"op ^": (e, e), "unary ||/": (e,), "unary |/": (e,), "extract timestamp": ("expr_timestamp",), "extract date": ("expr_date",), "extract interval": ("expr_interval",)}
     if t == "int":
         out["position"] = ("expr_text", "expr_text")
     return out
@@ -73,9 +74,9 @@ GRAMMAR: dict[str, dict[str, tuple[str, ...]]] = {
     "from": {"one": ("from_item",), "more": ("from_item", "from")},
     "from_item": {"table": (), "derived": ("query",), "join": ("from_item", "from_item", "expr_bool")},
     "where": {"none": (), "where": ("expr_bool",)},
-    "group": {"none": (), "columns": (), "single": (), "rollup": (), "cube": (), "grouping sets": ()},
+    "group": {"none": (), "columns": (), "single": (), "rollup": (), "cube": (), "grouping sets": (), "mixed": ()},
     "having": {"none": (), "having": ("expr_bool",)},
-    "items": {"star": (), "list": ("expr_int",)},
+    "items": {"star": (), "relation star": (), "list": ("expr_int",)},
     "order": {"output": (), "expression": ("expr_int",)},
     "aggregate": {"call": ("expr_int",), "distinct": ("expr_int",), "star": ()},
     **{f"expr_{t}": _expressions(t) for t in TYPES},

@@ -73,6 +73,7 @@ class Parser:
     def __init__(self, text: str):
         self.toks = tokens(text)
         self.at = 0
+        self.nameless = 0  # derived tables without an alias so far
         self.top: A.Expr | None = None  # SELECT TOP n or FIRST n of the query being read
 
     # tokens
@@ -273,8 +274,9 @@ class Parser:
                     self.at = mark
                 else:
                     alias = self.alias()
-                    if not alias:
-                        raise SyntaxProblem("a derived table needs an alias")
+                    if not alias:  # its columns can only be named alone
+                        self.nameless += 1
+                        alias = f"__d{self.nameless}"
                     return A.Derived(q, alias, self.names_in_parens(), lateral)
             inner = self.join_chain()
             self.need_op(")")
@@ -605,6 +607,9 @@ class Parser:
             if self.is_word(*UNITS):
                 unit = self.peek()[1].lower()
                 self.at += 1
+                if self.op("("):  # a precision says nothing about the value
+                    self.at += 1
+                    self.need_op(")")
                 return A.Literal("interval", lit.value.strip(), unit)
             return interval(lit.value)
         return lit
@@ -692,7 +697,14 @@ class Parser:
         return A.Substring(e, start, length)
 
 
+#: A limit in the manner of row numbers, which stands behind a finished statement; a negative one is none.
+ROWNUM = re.compile(r";?\s*\bwhere\s+rownum\s*<=\s*(-?\d+)\s*;?\s*\Z", re.I)
+
+
 def parse(text: str) -> A.Query:
+    tail = ROWNUM.search(text)
+    if tail:
+        text = text[: tail.start()] + (f" LIMIT {tail[1]}" if tail[1][0] != "-" else "")
     return Parser(text).statement()
 
 

@@ -1,8 +1,8 @@
 """Generation weights learnt from a corpus of queries, as one Spark aggregation; generation in bulk.
 
 Queries are recognised in the tasks; what leaves them are decisions counted by (function, context, option before,
-option). Contexts are the seven kinds below, all derived in the JVM from the stack of functions, so one pass over the
-corpus serves every model. Counts are normalised over a window by context. The model is as large as the grammar allows
+option). Contexts are the seven kinds below: the function, the function with its parameters and open gates (full), each also
+stacked and by depth, and the function with its caller. Counts are normalised over a window by context. The model is as large as the grammar allows
 for its kind of context, not as the corpus; kinds with stacks may be large and are bounded when they are read.
 """
 
@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import render_pg
-from .binder import BindProblem, Relation
-from .generator import Chooser, NotRecognised, generate, recognise
+from .binder import Binder, BindProblem, Relation
+from .generator import Call, Chooser, NotRecognised, generate, recognise
+from .grammar import GRAMMAR
 from .parser import SyntaxProblem, parse
+from .schema import parse_ddl
 
-KINDS = ("function", "stacked functions", "function by depth", "caller", "stacked callers", "caller by depth", "path")
+KINDS = ("function", "stacked functions", "function by depth", "full", "stacked full", "full by depth", "caller")
 MAX_MODEL = 2_000_000
 
 
@@ -30,20 +32,25 @@ def context(kind: str, stack: list[str]) -> str:
     if kind == "function":
         return top
     if kind == "stacked functions":
-        return "/".join(dict.fromkeys(stack))
+        return "/".join(stack)
     if kind == "function by depth":
         return f"{top}@{depth}"
+    if kind == "full":
+        return _full(top)
+    if kind == "stacked full":
+        return "/".join(map(_full, stack))
+    if kind == "full by depth":
+        return f"{_full(top)}@{depth}"
     if kind == "caller":
         return "/".join(stack[-2:])
-    if kind == "stacked callers":
-        return "/".join(stack[-4:])
-    if kind == "caller by depth":
-        return "/".join(stack[-2:]) + f"@{depth}"
-    if kind == "path":
-        return "/".join(stack)
     raise ValueError(kind)
 
 
+def _full(call: str) -> str:
+    """A function with the parameters it was called with and the gates open to it."""
+    return f"{call}({getattr(call, 'detail', '').strip()})"
+
+
 def _decisions(schema: dict[str, Relation], kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -58,7 +65,7 @@ def _decisions(schema: dict[str, Relation], kind: str):
                 before: list[str] = []
                 for step in path:
                     if step[0] == "call":
-                        stack.append(step[1])
+                        stack.append(Call(step[1], step[2]))
                         before.append("entry")
                     elif step[0] == "exit":
                         stack.pop()
@@ -142,6 +149,86 @@ def round_trips(corpus: DataFrame, text_col: str, schema: dict[str, Relation]) -
     return corpus.select(F.col(text_col).alias("text")).filter("text is not null").mapInArrow(run, "text string, outcome string")
 
 
+def _outcomes(judge):
+    """One outcome a row, from all its columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [judge(*row) for row in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["outcome"])
+
+    return run
+
+
+def _class(e: Exception) -> str:
+    """An error without the names and values in it."""
+    return f"{type(e).__name__}: " + " ".join([w for w in str(e).split() if w.isalpha()][:4])
+
+
+def validity(corpus: DataFrame, text_col: str, schema: dict[str, Relation]) -> DataFrame:
+    """(outcome) of each query: 'valid', or the class of the error that reading or binding it gives."""
+
+    def judge(text: str) -> str:
+        try:
+            Binder(schema).query(parse(text))
+            return "valid"
+        except (SyntaxProblem, BindProblem, RecursionError) as e:
+            return _class(e)
+
+    return corpus.select(text_col).filter(F.col(text_col).isNotNull()).mapInArrow(_outcomes(judge), "outcome string")
+
+
+def coverage(corpus: DataFrame) -> DataFrame:
+    """(schema text, query text) -> (outcome): 'recognised', else the first step that fails and why."""
+    known: dict[str, dict] = {}
+
+    def judge(ddl: str | None, text: str) -> str:
+        if not ddl:
+            return "no schema"
+        if ddl not in known:
+            if len(known) > 10_000:
+                known.clear()
+            try:
+                known[ddl] = parse_ddl(ddl)
+            except (SyntaxProblem, ValueError, IndexError):
+                known[ddl] = {}
+        try:
+            recognise(known[ddl], parse(text))
+            return "recognised"
+        except (SyntaxProblem, BindProblem, NotRecognised) as e:
+            return _class(e)
+        except (KeyError, AttributeError, TypeError, IndexError, RecursionError) as e:
+            return f"not recognised: {type(e).__name__}"
+
+    return corpus.mapInArrow(_outcomes(judge), "outcome string")
+
+
+def constructs(spark: SparkSession, schema: dict[str, Relation], n: int, stir: int, partitions: int | None = None) -> DataFrame:
+    """(function, option, n): in how many of n generated queries an option is taken; options never taken have 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter({(f, o): 0 for f, options in GRAMMAR.items() for o in options})
+        for batch in batches:
+            for seed in batch.column(0).to_pylist():
+                seen.update({(calls[-1], o) for calls, o in _taken(generate(schema, seed, stir)[1])})
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], names=["function", "option", "n"])
+
+    ids = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    return ids.mapInArrow(run, "function string, option string, n bigint").groupBy("function", "option").agg(F.sum("n").alias("n"))
+
+
+def _taken(path: list) -> Iterator[tuple[list[str], str]]:
+    """(stack of calls, option) of every decision of a path."""
+    stack: list[str] = []
+    for step in path:
+        if step[0] == "call":
+            stack.append(step[1])
+        elif step[0] == "exit":
+            stack.pop()
+        elif step[0] == "option":
+            yield stack, step[2]
+
+
 class AskingChooser(Chooser):
     """Puts every decision to somebody who answers in words (a person, a language model); asks again after a wrong answer."""
 

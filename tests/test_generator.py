@@ -4,10 +4,11 @@ import random
 
 import pytest
 
+from loomsql.dialect import ast as A
 from loomsql.dialect import render_pg, training
 from loomsql.dialect.constraint import ACTIONS, ConstraintEnv, range_reward
 from loomsql.dialect.engine import Engine
-from loomsql.dialect.generator import NotRecognised, Walker, generate, recognise, replay
+from loomsql.dialect.generator import Call, NotRecognised, Walker, generate, recognise, replay
 from loomsql.dialect.grammar import GRAMMAR, LEAST_CALLS
 from loomsql.dialect.parser import parse
 from loomsql.dialect.schema import parse_ddl
@@ -112,3 +113,33 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([("SELECT\n 1",)], "sql string")
     sinks.write_sql(df, "sql", str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == "SELECT 1;"
+
+
+def test_every_construct_is_generated():
+    seen, limits = set(), 0
+    for seed in range(1500):
+        q, path = generate(SCHEMA, seed, 6)
+        seen |= {(calls[-1], o) for calls, o in training._taken(path)}
+        for n in q.walk():
+            if isinstance(n, A.Query):
+                inside = n.body
+                while isinstance(inside, A.Query):
+                    limits += n.limit is not None and inside.limit is not None or bool(n.order_by and inside.order_by)
+                    inside = inside.body
+    assert not limits
+    assert {(f, o) for f, options in GRAMMAR.items() for o in options} - seen <= {("expr_date", "column")}  # no dates in this schema
+
+
+def test_full_contexts_tell_parameters_apart():
+    deep = Call("expr_int", "grouped ")
+    assert training.context("full", [deep]) == "expr_int(grouped)" != training.context("full", [Call("expr_int")])
+    assert training.context("stacked functions", ["query", "body", "query"]) == "query/body/query"
+    assert training.context("full by depth", ["query", deep]) == "expr_int(grouped)@2"
+
+
+def test_corpus_forms():
+    parsed = parse("select k from n order by k; where rownum <= 5;")
+    assert parsed.limit == A.Literal("int", "5") and parse("select k from n where rownum <= -1").limit is None
+    assert parse("select a from (select k as a from n) where a > 1").body.from_[0].alias
+    assert parse("select date '1998-12-01' - interval '66' day (3) as d from n") == parse("select date '1998-12-01' - interval '66' day as d from n")
+    assert parse_ddl("create table t (a int, b time, c text)")["t"].columns == (("a", "int"), ("b", "other"), ("c", "text"))
