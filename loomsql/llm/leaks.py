@@ -7,7 +7,8 @@ longest run of equal words and the longest stretch with at most a given share of
 
 The windows of all documents are never gathered anywhere. If the evaluation side has at most ``MAX_SENT`` distinct
 hashes (its size is counted first) they are sent to the tasks, which drop all other windows before the join; beyond that
-bound the join alone does it.
+bound the join alone does it, and every window of the corpus goes through the shuffle. A repetitive text meets a repetitive
+item at many pairs of positions; they are aggregated to diagonals, of which a pair has no more than the words of both.
 
 Defined results: null or short texts leak nothing; repeated ids count once; empty tables give no rows.
 """
@@ -145,7 +146,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     only = None
     hashes = seeds.select("hash").distinct()
     if hashes.count() <= MAX_SENT:
-        only = np.sort(np.array([r[0] for r in hashes.collect()], np.int64))
+        only = np.sort(hashes.toArrow().column(0).to_numpy())
     found = left.mapInArrow(windows(only, masks), "id bigint, pos int, hash bigint")
     hits = found.join(seeds.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash"), "hash")
     if masks_needed > 1:

