@@ -137,7 +137,7 @@ def kind(t: str) -> str:
 
 MAX_DEPTH = 4
 LITERALS = {
-    "text": ("text", "HJeihfbwei", ""), "date": ("date", "2023-08-27", ""), "timestamp": ("timestamp", "2023-01-30 14:37:05", ""), "interval": ("interval", "1", "day"),
+    "text": ("text", "loom", ""), "date": ("date", "2001-02-03", ""), "timestamp": ("timestamp", "2001-02-03 04:05:06", ""), "interval": ("interval", "1", "day"),
 }
 
 

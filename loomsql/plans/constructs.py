@@ -180,9 +180,9 @@ CONSTRUCTS: list[tuple[str, ...]] = [
     ("case_searched", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' END AS a FROM orders"),
     ("typed_null", "SELECT n_nationkey, CAST(NULL AS int) AS a, CAST(NULL AS text) AS b, CAST(NULL AS date) AS c, CAST(NULL AS boolean) AS d, CAST(NULL AS bigint) AS e FROM nation"),
     ("untyped_null", "SELECT n_nationkey FROM nation WHERE NULL IS NULL AND (NULL = 1) IS NULL"),
-    ("literal_cast", "SELECT n_nationkey, CAST(5 AS bigint) AS a, CAST('2023-08-27' AS date) AS b, CAST('7' AS int) AS c FROM nation"),
+    ("literal_cast", "SELECT n_nationkey, CAST(5 AS bigint) AS a, CAST('2001-02-03' AS date) AS b, CAST('7' AS int) AS c FROM nation"),
     ("cast_rounds", "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS bigint) AS a, CAST(l_discount * 100 AS int) AS b FROM lineitem"),
-    ("literals", "SELECT true AS a, false AS b, 5 AS c, 3000000000 AS d, 'it''s' AS e, DATE '2023-08-27' AS f, TIMESTAMP '2023-01-30 14:37:05' AS g, 2.5 = 2.50 AS h"),
+    ("literals", "SELECT true AS a, false AS b, 5 AS c, 3000000000 AS d, 'it''s' AS e, DATE '2001-02-03' AS f, TIMESTAMP '2001-02-03 04:05:06' AS g, 2.5 = 2.50 AS h"),
     # texts in quotes take the type of what they stand beside
     ("literal_date_cmp", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS date) >= '1998-01-01' AND o_orderdate < '1998-07-01' AND CAST(o_orderdate AS date) BETWEEN '1998-02-01' AND '1998-05-31' AND o_orderkey > '100' AND o_totalprice > '1000.5'"),
     ("literal_in", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS date) IN ('1998-01-02', '1998-03-04', '1999-05-06') OR o_orderkey IN ('7', '32') OR o_orderkey = ANY (SELECT n_nationkey FROM nation) AND '5' NOT IN (SELECT n_nationkey FROM nation)",

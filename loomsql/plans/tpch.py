@@ -37,7 +37,48 @@ def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REVENUE = "round(sum(l_extendedprice * (1 - l_discount)), 2)"
+#: What parts cost at their suppliers and how many were sold, in place of the table of part suppliers.
+PARTSUPP = """WITH partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice / l_quantity) AS ps_supplycost, sum(l_quantity) AS ps_availqty
+          FROM lineitem GROUP BY l_partkey, l_suppkey)"""
 TEXTS = {
+    "tpch_q2": f"""
+        {PARTSUPP}
+        SELECT s_acctbal, s_name, n_name, p_partkey FROM part, supplier, partsupp, nation, region
+        WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size < 30 AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA'
+          AND ps_supplycost = (
+            SELECT min(x.ps_supplycost) FROM partsupp AS x, supplier AS t, nation AS m, region AS q
+            WHERE p_partkey = x.ps_partkey AND t.s_suppkey = x.ps_suppkey AND t.s_nationkey = m.n_nationkey AND m.n_regionkey = q.r_regionkey AND q.r_name = 'ASIA')
+        ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+    "tpch_q9": f"""
+        {PARTSUPP}
+        SELECT n_name AS nation, CAST(EXTRACT(year FROM o_orderdate) AS int) AS o_year, round(sum(l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity), 2) AS sum_profit
+        FROM part, supplier, lineitem, partsupp, orders, nation
+        WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_type LIKE 'PROMO%'
+        GROUP BY n_name, CAST(EXTRACT(year FROM o_orderdate) AS int)""",
+    "tpch_q11": f"""
+        {PARTSUPP}
+        SELECT ps_partkey, round(sum(ps_supplycost * ps_availqty), 2) AS worth FROM partsupp, supplier, nation
+        WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 2 GROUP BY ps_partkey
+        HAVING sum(ps_supplycost * ps_availqty) > (
+          SELECT sum(ps_supplycost * ps_availqty) * 0.001 FROM partsupp, supplier, nation WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 2)""",
+    "tpch_q12": """
+        SELECT l_returnflag, count(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 END) AS high_line_count,
+               count(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 END) AS low_line_count
+        FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_returnflag IN ('R', 'A') AND o_orderdate < l_shipdate AND l_shipdate >= '1997-01-01' AND l_shipdate < '1998-01-01'
+        GROUP BY l_returnflag""",
+    "tpch_q16": f"""
+        {PARTSUPP}
+        SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) AS supplier_cnt FROM partsupp, part
+        WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#45' AND p_type NOT LIKE 'MEDIUM%' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9)
+          AND ps_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000)
+        GROUP BY p_brand, p_type, p_size""",
+    "tpch_q20": f"""
+        {PARTSUPP}
+        SELECT s_name FROM supplier, nation
+        WHERE s_suppkey IN (
+          SELECT ps_suppkey FROM partsupp WHERE ps_partkey IN (SELECT p_partkey FROM part WHERE p_type LIKE 'LARGE%')
+            AND ps_availqty > (SELECT 1.5 * sum(l_quantity) FROM lineitem WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate >= '1996-01-01' AND l_shipdate < '1999-01-01'))
+          AND s_nationkey = n_nationkey AND n_regionkey = 1""",
     "tpch_q3": f"""
         SELECT l_orderkey, {REVENUE} AS revenue, o_orderdate FROM customer, orders, lineitem
         WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
