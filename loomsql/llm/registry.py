@@ -71,6 +71,24 @@ e AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w
 dg AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
 eg AS (SELECT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+    # every pair of equal words by its diagonal; pairs of texts without four equal words in a row have no overlap of 12
+    "p7_overlaps": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\p{L}\p{N}]+') AS w FROM eval_item WHERE item_text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d)),
+eg AS (SELECT item_id, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 2)) AS i FROM e)),
+met AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+ew AS (SELECT item_id, unnest(w) AS word, unnest(range(len(w))) AS j FROM e),
+pairs AS (SELECT doc_id, item_id, i - j AS diagonal, j FROM met JOIN dw USING (doc_id) JOIN ew USING (item_id, word)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j) AS k, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS n FROM pairs),
+islands AS (SELECT doc_id, item_id, count(*) AS c FROM ranked GROUP BY doc_id, item_id, diagonal, j - k),
+runs AS (SELECT doc_id, item_id, max(c) AS run FROM islands GROUP BY doc_id, item_id),
+near AS (SELECT * FROM ranked WHERE n >= 10),
+wide AS (
+  SELECT a.doc_id, a.item_id, max(b.j - a.j + 1) AS overlap FROM near AS a JOIN near AS b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.diagonal = b.diagonal AND b.j >= a.j
+  WHERE (b.j - a.j) - (b.k - a.k) <= 0.15 * (b.j - a.j + 1) + 1e-9 GROUP BY a.doc_id, a.item_id)
+SELECT doc_id, item_id, CAST(run AS INTEGER) AS run, CAST(overlap AS INTEGER) AS overlap FROM wide JOIN runs USING (doc_id, item_id) WHERE overlap >= 12""",
 }
 
 
