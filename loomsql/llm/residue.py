@@ -276,10 +276,9 @@ def boilerplate(rows: DataFrame, min_texts: int, min_hosts: int) -> DataFrame:
     """(key) of every line that at least ``min_texts`` texts of a host hold, or texts of at least ``min_hosts`` hosts."""
     lines = rows.mapInArrow(line_keys, "near bigint, far bigint, text bigint").groupBy("far", "text").agg(F.min("near").alias("near"))  # copies count for one host
     by_host = lines.groupBy("far", "near").agg(F.count("*").alias("n"))
-    here = F.when(F.col("n") >= min_texts, F.col("near"))
-    far = by_host.groupBy("far").agg(F.count("*").alias("hosts"), F.collect_set(here).alias("keys"))  # a key for each host of one line
-    many = F.when(F.col("hosts") >= min_hosts, F.array("far")).otherwise(F.col("keys"))
-    return far.filter((F.col("hosts") >= min_hosts) | (F.size("keys") > 0)).select(F.explode(many).alias("key"))
+    many = by_host.groupBy("far").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= min_hosts).select("far")
+    own = by_host.filter(F.col("n") >= min_texts).join(many, "far", "left_anti")
+    return many.select(F.col("far").alias("key")).unionByName(own.select(F.col("near").alias("key")))
 
 
 def residue(df: DataFrame, id_col: str, text_col: str, host_col: str, min_texts: int = 5, min_hosts: int = 5) -> DataFrame:
