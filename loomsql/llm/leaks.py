@@ -36,6 +36,8 @@ MASKS = ((0, 1, 2, 4, 5, 6, 7, 9, 10, 11), (0, 1, 2, 3, 4, 7, 8, 9, 10, 11))
 SEEDS = (tuple(range(5)), (0, 1, 2, 3, 5, 6, 7, 8, 10, 11, 12, 13))
 #: At most so many distinct hashes of the evaluation side are sent to tasks (8 bytes each).
 MAX_SENT = 2_000_000
+#: Evaluation texts of at most so many characters are sent to the tasks that verify; beyond that they are joined.
+MAX_TEXT = 16 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -130,6 +132,55 @@ def compare(share: float):
     return run
 
 
+class Measure:
+    """Runs and overlaps along diagonals, on words numbered by the evaluation texts' vocabulary."""
+
+    def __init__(self, items: dict[int, list[str]], share: float):
+        self.share = share
+        self.number: dict[str, int] = {}
+        self.items = {i: np.array([self.number.setdefault(x, len(self.number)) for x in t], np.int64) for i, t in items.items()}
+
+    def words(self, text: str) -> np.ndarray:
+        return np.array([self.number.get(x, -1) for x in words_of(text)], np.int64)
+
+    def __call__(self, a: np.ndarray, item: int, diagonals: list[int]) -> tuple[int, int]:
+        """The longest run and overlap; a diagonal with no more equal words than were found before can't have longer ones."""
+        b = self.items[item]
+        lines = []
+        for d in diagonals:
+            start = max(0, -d)
+            end = min(len(b), len(a) - d)
+            equal = a[start + d : end + d] == b[start:end]
+            lines.append((int(np.count_nonzero(equal)), equal))
+        most, wide = 0, 0
+        for n, equal in sorted(lines, key=lambda x: -x[0]):
+            if n <= most and n <= wide * (1 - self.share) + 1e-6:
+                break
+            r, o = stretch(equal, self.share)
+            most, wide = max(most, r), max(wide, o)
+        return most, wide
+
+
+def compare_sent(items: dict[int, list[str]], share: float):
+    """(doc_id, text, found: items with their diagonals) -> (doc_id, item_id, run, overlap)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        measure = Measure(items, share)
+        for batch in batches:
+            docs, out_items, runs, overlaps = [], [], [], []
+            for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+                a = measure.words(text)
+                for x in found:
+                    r, o = measure(a, x["item_id"], x["hits"])
+                    docs.append(doc)
+                    out_items.append(x["item_id"])
+                    runs.append(r)
+                    overlaps.append(o)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out_items, pa.int64()), pa.array(runs, pa.int32()), pa.array(overlaps, pa.int32())], names=["doc_id", "item_id", "run", "overlap"])
+
+    return run
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "item_text", share: float = 0.15, masks_needed: int = 1) -> DataFrame:
     """(doc_id, item_id, run, overlap) of every document and item with a hit: the longest run of equal words, and the
 
@@ -153,9 +204,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
         hits = hits.groupBy("id", "item_id", "pos", "item_pos").count().filter(F.col("count") >= masks_needed)
     diagonals = hits.select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
     pairs = scratch.write(diagonals.groupBy("doc_id", "item_id").agg(F.collect_set("diagonal").alias("hits")), "pairs")
-    texts = pairs.join(left.select(F.col("id").alias("doc_id"), "text"), "doc_id").join(right.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item_id")
-    texts = texts.select("doc_id", "item_id", "hits", "text", "item_text").sortWithinPartitions("doc_id")  # each text is split once
-    checked = texts.mapInArrow(compare(share), "doc_id bigint, item_id bigint, run int, overlap int")
+    result = "doc_id bigint, item_id bigint, run int, overlap int"
+    texts_of = left.select(F.col("id").alias("doc_id"), "text")
+    size = right.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*"), F.count_distinct("id")).first()
+    if size[0] <= MAX_TEXT and size[1] == size[2]:
+        sent = {r["id"]: words_of(r["text"]) for r in right.toLocalIterator()}
+        part = F.pmod(F.xxhash64("item_id"), F.lit(1 + size[1] // 1000))  # a document's items in lists of some 1,000
+        found = pairs.groupBy("doc_id", part.alias("part")).agg(F.collect_list(F.struct("item_id", "hits")).alias("found"))
+        checked = texts_of.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(compare_sent(sent, share), result)
+    else:
+        texts = pairs.join(texts_of, "doc_id").join(right.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item_id")
+        texts = texts.select("doc_id", "item_id", "hits", "text", "item_text").sortWithinPartitions("doc_id")  # each text is split once
+        checked = texts.mapInArrow(compare(share), result)
     return checked.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("overlap").alias("overlap"))
 
 

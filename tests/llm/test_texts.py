@@ -59,12 +59,13 @@ def test_leaks(spark):
     assert want
     for bound in (leaks.MAX_SENT, 0):  # with and without the hashes sent to the tasks
         before, leaks.MAX_SENT = leaks.MAX_SENT, bound
+        texts, leaks.MAX_TEXT = leaks.MAX_TEXT, leaks.MAX_TEXT * bool(bound)
         try:
             for needed in (1, len(leaks.MASKS)):
                 got = {(x["doc_id"], x["item_id"]) for x in leaks.find_leaks(d, e, masks_needed=needed).filter("run >= 12").collect()}
                 assert got == want
         finally:
-            leaks.MAX_SENT = before
+            leaks.MAX_SENT, leaks.MAX_TEXT = before, texts
     assert leaks.find_leaks(d.limit(0), e).count() == 0 and leaks.find_leaks(d, e.limit(0)).count() == 0
 
 
