@@ -272,10 +272,10 @@ def judged(known: frozenset | None):
     return run
 
 
-def boilerplate(rows: DataFrame, min_texts: int, min_hosts: int) -> DataFrame:
+def boilerplate(rows: DataFrame, scratch: Scratch, min_texts: int, min_hosts: int) -> DataFrame:
     """(key) of every line that at least ``min_texts`` texts of a host hold, or texts of at least ``min_hosts`` hosts."""
     lines = rows.mapInArrow(line_keys, "near bigint, far bigint, text bigint").groupBy("far", "text").agg(F.min("near").alias("near"))  # copies count for one host
-    by_host = lines.groupBy("far", "near").agg(F.count("*").alias("n"))
+    by_host = scratch.write(lines.groupBy("far", "near").agg(F.count("*").alias("n")), "lines")
     many = by_host.groupBy("far").agg(F.count("*").alias("hosts")).filter(F.col("hosts") >= min_hosts).select("far")
     own = by_host.filter(F.col("n") >= min_texts).join(many, "far", "left_anti")
     return many.select(F.col("far").alias("key")).unionByName(own.select(F.col("near").alias("key")))
@@ -291,7 +291,8 @@ def residue(df: DataFrame, id_col: str, text_col: str, host_col: str, min_texts:
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.col(text_col).alias("text")).filter(r"text rlike '(?U)\\S'")
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"id {kind}, content array<struct<near: bigint, far: bigint>>"
-    known = scratch.write(boilerplate(rows, min_texts, min_hosts), "boilerplate")
+    known = scratch.write(boilerplate(rows, scratch, min_texts, min_hosts), "boilerplate")
+    scratch.drop("lines")
     if known.count() <= MAX_SENT:
         sent = frozenset(known.toArrow().column("key").to_pylist())
         return rows.mapInArrow(judged(sent), shape).select(F.col("id").alias(id_col))
